@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import leaks, spans, tokenize
+from foliospark.llm import boilerplate, leaks, spans, tokenize
 from foliospark.session import cut, table
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines whose text returns in five books of their publisher."""
+    return boilerplate.repeated_lines(table(spark, folder, "page_line")).select("line_id")
+
+
+def p2_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages without those lines."""
+    lines = table(spark, folder, "page_line")
+    return boilerplate.own_pages(lines, boilerplate.repeated_lines(lines))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return tokenize.encode_column(table(spark, folder, "documents"), "doc_id", "text")
@@ -52,6 +63,12 @@ WITH w AS (SELECT {key}, regexp_extract_all(replace(lower(text), 'ς', 'σ'), '[
 p AS (SELECT {key}, l, unnest(generate_series(1, len(l) - 7)) AS i FROM w WHERE len(l) >= 8)
 SELECT DISTINCT {key}, array_to_string(l[i:i + 7], ' ') AS s FROM p
 """
+P2 = r"""
+WITH l AS (SELECT DISTINCT line_id, book_id, publisher, page_num, top, text FROM page_line WHERE text IS NOT NULL),
+n AS (SELECT *, regexp_replace(trim(regexp_replace(lower(text), '[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')), '\p{Nd}+', '0', 'g') AS k FROM l),
+r AS (SELECT publisher, k FROM n GROUP BY publisher, k HAVING count(DISTINCT book_id) >= 5),
+f AS (SELECT n.line_id FROM n JOIN r ON n.publisher IS NOT DISTINCT FROM r.publisher AND n.k = r.k)
+"""
 P8 = f"""
 SELECT DISTINCT item_id, doc_id FROM ({WINDOWS.format(key="item_id", table="benchmark")}) JOIN ({WINDOWS.format(key="doc_id", table="documents")}) USING (s)
 """
@@ -61,8 +78,10 @@ h AS (SELECT DISTINCT doc_id, md5(substr(text, i, 240)) AS s FROM p)
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM h a JOIN h b ON a.s = b.s AND a.doc_id < b.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (p7_ids, p7_round_trip, p8_found, p8_report, p9_found, p9_share, p9_components)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pages, p7_ids, p7_round_trip, p8_found, p8_report, p9_found, p9_share, p9_components)}
 SQL = {
+    "p2_found": P2 + "SELECT DISTINCT line_id FROM f",
+    "p2_pages": P2 + "SELECT book_id, page_num, count(*) AS lines, string_agg(text, chr(10) ORDER BY top, line_id) AS text FROM l WHERE line_id NOT IN (SELECT line_id FROM f) GROUP BY book_id, page_num",
     "p7_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p8_found": P8,
     "p9_found": P9,
