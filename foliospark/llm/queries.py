@@ -3,11 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliospark.llm import boilerplate, leaks, spans, tokenize
+from foliospark.llm import boilerplate, encodings, leaks, lookalikes, spans, tokenize
 from foliospark.session import cut, table
 
 
+def _records(spark: SparkSession, folder: str) -> DataFrame:
+    """Page texts and text segments as records; the source is who made the text."""
+    pages, segments = table(spark, folder, "page_text"), table(spark, folder, "text_segment")
+    return encodings.records([("page_text", pages, "page_uid", "raw_text", "extractor"), ("text_segment", segments, "segment_id", "text", "publisher")])
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records with a stretch read in a wrong encoding."""
+    rows = _records(spark, folder)
+    return encodings.garbled(rows, encodings.learn(rows))
+
+
+def p1_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Their texts as written."""
+    rows = _records(spark, folder)
+    return encodings.restored(rows, encodings.learn(rows))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines whose text returns in five books of their publisher."""
     return boilerplate.repeated_lines(table(spark, folder, "page_line")).select("line_id")
@@ -19,6 +38,24 @@ def p2_pages(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.own_pages(lines, boilerplate.repeated_lines(lines))
 
 
+def _lookalikes(spark: SparkSession, folder: str) -> DataFrame:
+    """Suspect words of the records that are not garbled; only records with suspect signs are judged."""
+    rows = _records(spark, folder)
+    found = cut(lookalikes.occurrences(rows))
+    suspects = rows.where(lookalikes.has_lookalikes(F.col("text")))
+    return found.join(encodings.garbled(suspects, encodings.learn(rows)), ["table_name", "rec_id"], "left_anti")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records that hold look-alike characters."""
+    return _lookalikes(spark, folder).select("table_name", "rec_id").distinct()
+
+
+def p6_unified(spark: SparkSession, folder: str) -> DataFrame:
+    """Their texts in one consistent form."""
+    return lookalikes.unified(_records(spark, folder), _lookalikes(spark, folder))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return tokenize.encode_column(table(spark, folder, "documents"), "doc_id", "text")
@@ -78,7 +115,7 @@ h AS (SELECT DISTINCT doc_id, md5(substr(text, i, 240)) AS s FROM p)
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM h a JOIN h b ON a.s = b.s AND a.doc_id < b.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pages, p7_ids, p7_round_trip, p8_found, p8_report, p9_found, p9_share, p9_components)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_pages, p6_found, p6_unified, p7_ids, p7_round_trip, p8_found, p8_report, p9_found, p9_share, p9_components)}
 SQL = {
     "p2_found": P2 + "SELECT DISTINCT line_id FROM f",
     "p2_pages": P2 + "SELECT book_id, page_num, count(*) AS lines, string_agg(text, chr(10) ORDER BY top, line_id) AS text FROM l WHERE line_id NOT IN (SELECT line_id FROM f) GROUP BY book_id, page_num",
