@@ -112,6 +112,11 @@ class MultiByte:
 
 
 _ciphers: list = []
+_latin, _other = re.compile("[A-Za-zÀ-ɏ]"), re.compile("[Ͱ-ӿ]")
+
+
+def _two_scripts(word: str) -> bool:
+    return bool(_latin.search(word) and _other.search(word))
 
 
 def ciphers() -> list:
@@ -167,7 +172,11 @@ class Model:
         return found
 
     def believable(self, cipher: MultiByte, word: str) -> bool:
-        """Some run of the word stands for a letter in use, or begins with a sign that no letter is."""
+        """Some run of the word stands for a letter in use, or begins with a sign that no letter is.
+
+        A word of one script that would become one of two is none."""
+        if not _two_scripts(word) and _two_scripts(cipher.undo(word) or ""):
+            return False
         return any(not symbol[0].isalpha() or self.base.get(letter, 0.0) >= IN_USE for symbol, letter in cipher.symbols(word))
 
     def best(self, word: str, source: str | None = None) -> tuple[str, float, str, bool] | None:
