@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import boilerplate, encodings, leaks, lookalikes, quality, spans, tokenize
+from foliospark.llm import boilerplate, encodings, leaks, lookalikes, quality, scans, spans, tokenize
 from foliospark.session import cut, table
 
 
@@ -38,6 +38,16 @@ def p2_pages(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.own_pages(lines, boilerplate.repeated_lines(lines))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of prose with damage of scanning or page layout."""
+    return scans.repaired_pages(table(spark, folder, "page_text"), table(spark, folder, "book"), only_damaged=True).select("page_uid").distinct()
+
+
+def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages of prose as running paragraphs."""
+    return scans.repaired_pages(table(spark, folder, "page_text"), table(spark, folder, "book"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pages that are a list, a table or junk."""
     return quality.not_prose(quality.page_figures(table(spark, folder, "page_text")))
@@ -125,7 +135,7 @@ h AS (SELECT DISTINCT doc_id, md5(substr(text, i, 240)) AS s FROM p)
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM h a JOIN h b ON a.s = b.s AND a.doc_id < b.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_pages, p4_found, p4_figures, p6_found, p6_unified, p7_ids, p7_round_trip, p8_found, p8_report, p9_found, p9_share, p9_components)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_pages, p3_found, p3_repaired, p4_found, p4_figures, p6_found, p6_unified, p7_ids, p7_round_trip, p8_found, p8_report, p9_found, p9_share, p9_components)}
 SQL = {
     "p2_found": P2 + "SELECT DISTINCT line_id FROM f",
     "p2_pages": P2 + "SELECT book_id, page_num, count(*) AS lines, string_agg(text, chr(10) ORDER BY top, line_id) AS text FROM l WHERE line_id NOT IN (SELECT line_id FROM f) GROUP BY book_id, page_num",
