@@ -16,6 +16,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from math import log
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,11 +26,13 @@ from foliospark.session import cut
 
 READERS = ("cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "cp1253", "iso8859-7", "cp437", "cp850", "mac_roman")
 WRITERS = ("cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "cp1253", "iso8859-7", "mac_roman")
-ROUNDS = 4
+ROUNDS = 3
 #: What a word must gain, in nats, before a cipher nobody has met is believed; a learned share lowers it.
 DOUBT = 6.0
 #: What one word at least must gain, and what a run of UTF-8 may lose, to be believed.
 ALONE, RUN_LOSS = 3.5, -4.0
+#: Nats a sign above which a word is as it should be.
+LIKELY = -3.0
 #: The share of all signs from which on a letter is in use.
 IN_USE = 1e-5
 #: The share of all words that must gain SURE each before a cipher is believed to occur.
@@ -53,6 +56,10 @@ def code_page(codec: str) -> list[str]:
     return signs
 
 
+def _signs(word: str) -> frozenset[str]:
+    return frozenset(c for c in word if c > "\x7f")
+
+
 class SingleByte:
     """A text of code page `writer` read as `reader`: one sign for one."""
 
@@ -60,14 +67,16 @@ class SingleByte:
         self.name, self.multi = f"{writer}>{reader}", False
         read, written = code_page(reader), code_page(writer)
         self.table = {ord(a): b for a, b in zip(read[128:], written[128:])}
-        self.foreign = re.compile("[^\\x00-\\x7f" + re.escape("".join(sorted(set(read[128:])))) + "]")
-        self.changing = {chr(k) for k, v in self.table.items() if chr(k) != v} - NEUTRAL
+        self.reader = frozenset(read[128:])
+        self.changing = frozenset(chr(k) for k, v in self.table.items() if chr(k) != v) - NEUTRAL
+
+    def may_have_made(self, signs: frozenset[str]) -> bool:
+        """Whether a word with these signs outside ASCII can come of this cipher and be changed by it."""
+        return signs <= self.reader and not self.changing.isdisjoint(signs)
 
     def undo(self, word: str) -> str | None:
         """What was written, None where this cipher can't have made the word."""
-        if self.foreign.search(word) or self.changing.isdisjoint(word):
-            return None
-        return word.translate(self.table)
+        return word.translate(self.table) if self.may_have_made(_signs(word)) else None
 
     def symbols(self, word: str) -> Iterator[tuple[str, str]]:
         for sign in word:
@@ -82,11 +91,16 @@ class MultiByte:
         self.name, self.multi, self.times = f"utf-8>{reader}" + "*" * (times - 1), True, times
         read = code_page(reader)
         self.bytes = {sign: byte for byte, sign in reversed(list(enumerate(read)))}
+        self.leads, self.tails = frozenset(read[0xC2:0xF5]), frozenset(read[0x80:0xC0])
         some = lambda a, b: "[" + re.escape("".join(read[a:b])) + "]"
         tail = some(0x80, 0xC0)
         self.unit = re.compile(f"{some(0xC2, 0xE0)}{tail}|{some(0xE0, 0xF0)}{tail}{{2}}|{some(0xF0, 0xF5)}{tail}{{3}}")
         self.table: dict[str, str] = {}
 
+    def may_have_made(self, signs: frozenset[str]) -> bool:
+        """Whether a word with these signs outside ASCII can hold a run of this cipher."""
+        return not self.leads.isdisjoint(signs) and not self.tails.isdisjoint(signs)
+
     def _letter(self, match: re.Match) -> str:
         unit = match.group()
         if unit not in self.table:
@@ -145,9 +159,12 @@ class Model:
         self.live = [c for c in ciphers() if not shares or self.total_share.get(c.name, 0) >= EVIDENCE * max(self.firsts.get("\n", 0), 1)]
         self.known: dict[str, tuple] = {}
 
-    def likelihood(self, word: str) -> float:
+    def likelihood(self, word: str, least: float = -1e300) -> float:
+        """Nats of a word by its bigrams; once under `least`, it is not followed to its end."""
         logs, total, before = self.logs, 0.0, "\n"
         for sign in word + "\n":
+            if total < least:
+                return total
             value = logs.get((before, sign))
             if value is None:
                 value = log(20 * self.base.get(sign, self.rare) / (self.firsts.get(before, 0) + 20))
@@ -158,14 +175,16 @@ class Model:
         """(cipher, gain, as written, multi-byte) of each cipher that may have made the word."""
         found = self.known.get(word)
         if found is None:
-            plain, found, seen = self.likelihood(word), [], {word}
-            unlikely = not self.shares or plain < -3.0 * (len(word) + 1)
+            plain, found, seen, signs = self.likelihood(word), [], {word}, _signs(word)
+            unlikely = plain < LIKELY * (len(word) + 1) or not self.shares
             for cipher in self.live:
-                if (cipher.multi or unlikely) and (read := cipher.undo(word)) is not None and read not in seen:
+                if (cipher.multi or unlikely) and cipher.may_have_made(signs) and (read := cipher.undo(word)) is not None and read not in seen:
                     seen.add(read)
-                    if cipher.multi and not self.believable(cipher, word):
+                    if not self.believable(cipher, word) if cipher.multi else _two_scripts(read):
                         continue
-                    found.append((cipher.name, self.likelihood(read) - plain, read, cipher.multi))
+                    gain = self.likelihood(read, plain + RUN_LOSS) - plain
+                    if gain > RUN_LOSS:
+                        found.append((cipher.name, gain, read, cipher.multi))
             if len(self.known) >= KNOWN:
                 self.known.clear()
             found = self.known[word] = tuple(found)
@@ -296,9 +315,21 @@ def garbled(rows: DataFrame, model: Model) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
-            names, ids, sources, words = (batch.column(i).to_pylist() for i in range(4))
-            kept = [i for i in range(len(ids)) if judge(shared.value, sources[i], words[i])]
+            lists = batch.column(3)
+            offsets = lists.offsets.to_numpy()
+            encoded = lists.values.dictionary_encode()
+            distinct = encoded.dictionary.to_pylist()
+            telling = np.array([LOST in w or bool(model.readings(w)) for w in distinct], bool)
+            marked = telling[encoded.indices.to_numpy()] if distinct else np.zeros(0, bool)
+            before = np.concatenate(([0], np.cumsum(marked)))
+            some = np.flatnonzero(before[offsets[1:]] > before[offsets[:-1]])
+            if not len(some):
+                continue
+            part = batch.take(pa.array(some))
+            names, ids, sources, words = (part.column(i).to_pylist() for i in range(4))
+            kept = [i for i in range(len(ids)) if judge(model, sources[i], words[i])]
             yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in kept], pa.string()), pa.array([ids[i] for i in kept], pa.int64())], FOUND.names)
 
     return rows.select("table_name", "rec_id", "source", words_of(F.col("text")).alias("words")).mapInArrow(run, FOUND).distinct()
