@@ -43,6 +43,8 @@ NEUTRAL = frozenset(" ­")
 #: A word: a run between plain white space that has a code point outside ASCII, found in one pass.
 WORD = r"(?<![^ \t\n\r\f])[\x00-\x08\x0B\x0E-\x1F\x21-\x7F]*+[^\x00-\x7F][^ \t\n\r\f]*+"
 KNOWN = 300_000
+#: Signs of the matrix that screens words; words with others are followed sign by sign.
+TABLE = 1200
 
 
 def code_page(codec: str) -> list[str]:
@@ -157,7 +159,10 @@ class Model:
         for (_, name), n in shares.items():
             self.total_share[name] += n
         self.live = [c for c in ciphers() if not shares or self.total_share.get(c.name, 0) >= EVIDENCE * max(self.firsts.get("\n", 0), 1)]
+        self.runs = [c for c in self.live if c.multi]
         self.known: dict[str, tuple] = {}
+        self._dense: _Dense | None = None
+        self.hints: dict[str, list] = {}
 
     def likelihood(self, word: str, least: float = -1e300) -> float:
         """Nats of a word by its bigrams; once under `least`, it is not followed to its end."""
@@ -171,13 +176,26 @@ class Model:
             total, before = total + value, sign
         return total
 
+    def prepare(self, words: list[str]) -> None:
+        """Finds, for many words at once, the one-sign ciphers worth a closer look; `readings` then
+        follows only those. Words with a sign outside the table are left to `readings` as they are."""
+        words = [w for w in words if w not in self.known and w not in self.hints]
+        if len(self.hints) > KNOWN:
+            self.hints.clear()
+        if not words:
+            return
+        if self._dense is None:
+            self._dense = _Dense(self)
+        self.hints.update(self._dense.candidates(words))
+
     def readings(self, word: str) -> tuple[tuple[str, float, str, bool], ...]:
         """(cipher, gain, as written, multi-byte) of each cipher that may have made the word."""
         found = self.known.get(word)
         if found is None:
             plain, found, seen, signs = self.likelihood(word), [], {word}, _signs(word)
             unlikely = plain < LIKELY * (len(word) + 1) or not self.shares
-            for cipher in self.live:
+            hint = self.hints.get(word)
+            for cipher in self.live if hint is None else [*self.runs, *hint]:
                 if (cipher.multi or unlikely) and cipher.may_have_made(signs) and (read := cipher.undo(word)) is not None and read not in seen:
                     seen.add(read)
                     if not self.believable(cipher, word) if cipher.multi else _two_scripts(read):
@@ -211,6 +229,50 @@ class Model:
         return DOUBT - min(3.0, log(1 + met) / 2)
 
 
+class _Dense:
+    """The bigrams of the most frequent signs as a matrix, and each one-sign cipher as an index array."""
+
+    def __init__(self, model: Model):
+        counts = Counter(model.firsts)
+        for (_, y), n in model.bigrams.items():
+            counts[y] += n
+        signs = ["\n", *(s for s, _ in counts.most_common(TABLE) if s != "\n")]
+        self.ciphers = [c for c in model.live if not c.multi]
+        signs += sorted({s for c in self.ciphers for s in (*c.reader, *c.table.values())} - set(signs))
+        self.index = {s: i for i, s in enumerate(signs)}
+        base = np.array([model.base.get(s, model.rare) for s in signs])
+        firsts = np.array([model.firsts.get(s, 0) + 20 for s in signs])
+        self.logs = np.log(20 * base)[None, :] - np.log(firsts)[:, None]
+        for (x, y), value in model.logs.items():
+            if x in self.index and y in self.index:
+                self.logs[self.index[x], self.index[y]] = value
+        self.maps, self.able, self.changes = [], [], []
+        for c in self.ciphers:
+            to = np.arange(len(signs))
+            for sign, i in self.index.items():
+                to[i] = self.index[c.table.get(ord(sign), sign)]
+            self.maps.append(to)
+            self.able.append(np.array([s <= "\x7f" or s in c.reader for s in signs]))
+            self.changes.append(np.array([s in c.changing for s in signs]))
+
+    def candidates(self, words: list[str]) -> dict[str, list]:
+        """The ciphers under which a word loses less than RUN_LOSS, for each word of the table's signs."""
+        whole = [w for w in words if all(s in self.index for s in w)]
+        found: dict[str, list] = {w: [] for w in whole}
+        if not whole:
+            return found
+        at = np.array([self.index[s] for w in whole for s in "\n" + w] + [0])
+        starts = np.cumsum([0, *(len(w) + 1 for w in whole)])[:-1]
+        total = lambda ids: np.add.reduceat(self.logs[ids[:-1], ids[1:]], starts)
+        plain = total(at)
+        for c, to, able, changes in zip(self.ciphers, self.maps, self.able, self.changes):
+            possible = np.logical_and.reduceat(able[at[:-1]], starts) & np.logical_or.reduceat(changes[at[:-1]], starts)
+            if possible.any():
+                for i in np.flatnonzero(possible & (total(to[at]) - plain > RUN_LOSS)).tolist():
+                    found[whole[i]].append(c)
+        return found
+
+
 def words_of(text: Column) -> Column:
     """The words of a text that have a code point outside ASCII."""
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
@@ -234,7 +296,10 @@ def _expect(model: Model | None, batches: Iterator[pa.RecordBatch]) -> Iterator[
     bigrams, shares, symbols = Counter(), Counter(), Counter()
     by_name = {c.name: c for c in ciphers()}
     for batch in batches:
-        for word, sources in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        words = batch.column(0).to_pylist()
+        if model:
+            model.prepare(words)
+        for word, sources in zip(words, batch.column(1).to_pylist()):
             n = sum(s["n"] for s in sources)
             best = model.best(word) if model else None
             read = best[2] if best else word
@@ -311,7 +376,10 @@ def judge(model: Model, source: str | None, words: list[str]) -> dict[str, float
 
 
 def garbled(rows: DataFrame, model: Model) -> DataFrame:
-    """(table_name, rec_id) of the records with a stretch in a wrong encoding; no shuffle but that of distinct."""
+    """(table_name, rec_id) of the records with a stretch in a wrong encoding; no shuffle but that of distinct.
+
+    `rows` are `records`, or have their words in a column of that name already."""
+    words = F.col("words") if "words" in rows.columns else words_of(F.col("text"))
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,6 +389,7 @@ def garbled(rows: DataFrame, model: Model) -> DataFrame:
             offsets = lists.offsets.to_numpy()
             encoded = lists.values.dictionary_encode()
             distinct = encoded.dictionary.to_pylist()
+            model.prepare(distinct)
             telling = np.array([LOST in w or bool(model.readings(w)) for w in distinct], bool)
             marked = telling[encoded.indices.to_numpy()] if distinct else np.zeros(0, bool)
             before = np.concatenate(([0], np.cumsum(marked)))
@@ -332,7 +401,7 @@ def garbled(rows: DataFrame, model: Model) -> DataFrame:
             kept = [i for i in range(len(ids)) if judge(model, sources[i], words[i])]
             yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in kept], pa.string()), pa.array([ids[i] for i in kept], pa.int64())], FOUND.names)
 
-    return rows.select("table_name", "rec_id", "source", words_of(F.col("text")).alias("words")).mapInArrow(run, FOUND).distinct()
+    return rows.select("table_name", "rec_id", "source", words.alias("words")).mapInArrow(run, FOUND).distinct()
 
 
 RESTORED = T.StructType([*FOUND.fields, T.StructField("restored", T.StringType()), T.StructField("ciphers", T.ArrayType(T.StringType())), T.StructField("lost_signs", T.IntegerType())])
