@@ -15,6 +15,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,18 +76,30 @@ def mixed_scripts() -> str:
     return "|".join(f"{a}{inner}{b}" for a in SCRIPTS.values() for b in SCRIPTS.values() if a != b)
 
 
-def has_lookalikes(text: Column) -> Column:
-    """Whether a text holds a suspect sign or word; cheap tests stand before dear ones."""
-    signs = text.rlike(rf"[{compatibility_forms()}{INVISIBLE}{SPACES}]")
-    marks = text.rlike(r"\p{M}") & text.rlike(composing_pairs())
-    scripts = text.rlike(r"\p{IsCyrillic}|\p{IsGreek}") & text.rlike(mixed_scripts())
-    return text.rlike(r"[^\x00-\x7F]") & (signs | marks | scripts)
+@cache
+def _patterns():
+    """(suspect sign, composing pair, two scripts, parts of a text) for the `regex` module."""
+    import regex
+
+    plain = lambda body: regex.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m.group(1), 16):08X}", body)
+    signs = regex.compile(plain(rf"[{compatibility_forms()}{INVISIBLE}{SPACES}]"))
+    return signs, regex.compile(plain(composing_pairs())), regex.compile(plain(mixed_scripts())), regex.compile(plain(rf"[\p{{L}}\p{{M}}\p{{N}}{INVISIBLE}]++|[{SPACES}]"))
+
 
+_suspects: dict[str, tuple[str, ...]] = {}
 
-def suspect_words(text: Column) -> Column:
-    """The distinct suspect words and unusual spaces of a text."""
-    part = rf"[\p{{L}}\p{{M}}\p{{N}}{INVISIBLE}]++|[{SPACES}]"
-    return F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(part), F.lit(0))), has_lookalikes)
+
+def suspects_in(text: str) -> tuple[str, ...]:
+    """The distinct suspect words and unusual spaces of a text or a piece of one, in their order; remembered for short ones."""
+    found = _suspects.get(text)
+    if found is None:
+        signs, pairs, scripts, parts = _patterns()
+        found = tuple(dict.fromkeys(p for p in parts.findall(text) if not p.isascii() and (signs.search(p) or pairs.search(p) or scripts.search(p))))
+        if len(text) < 100:
+            if len(_suspects) > 200_000:
+                _suspects.clear()
+            _suspects[text] = found
+    return found
 
 
 def _visible(word: str) -> str:
@@ -147,13 +160,38 @@ def canonical_words(words: DataFrame) -> DataFrame:
     return formed.withColumn("looks", F.collate("looks", "UNICODE")).join(chosen, "looks").select("word", "canonical")
 
 
-def occurrences(rows: DataFrame) -> DataFrame:
+SUSPECT = T.StructType([T.StructField("table_name", T.StringType()), T.StructField("rec_id", T.LongType()), T.StructField("source", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("suspects", T.ArrayType(T.StringType()))])
+
+
+def suspect_records(rows: DataFrame, words: Column) -> DataFrame:
+    """(table_name, rec_id, source, words, suspects) of the records with a suspect word or space.
+
+    `words` are the text's runs between plain white space that leave ASCII. Each batch judges its
+    different ones once. No shuffle; null and plain texts have no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(3)
+            offsets, encoded = lists.offsets.to_numpy(), lists.values.dictionary_encode()
+            distinct = encoded.dictionary.to_pylist()
+            telling = np.array([bool(suspects_in(w)) for w in distinct], bool)
+            marked = telling[encoded.indices.to_numpy()] if distinct else np.zeros(0, bool)
+            before = np.concatenate(([0], np.cumsum(marked)))
+            some = np.flatnonzero(before[offsets[1:]] > before[offsets[:-1]])
+            if len(some):
+                part = batch.take(pa.array(some))
+                suspects = [list(dict.fromkeys(s for w in ws for s in suspects_in(w))) for ws in part.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array(suspects, pa.list_(pa.string()))], SUSPECT.names)
+
+    return rows.select("table_name", "rec_id", "source", words.alias("words")).mapInArrow(run, SUSPECT)
+
+
+def occurrences(suspects: DataFrame) -> DataFrame:
     """(table_name, rec_id, word, canonical): each suspect word of each record with its canonical form.
 
-    Suspect signs are found where the rows are read; only suspect words are shuffled. A word that
-    cannot be brought into one script stands for itself and is still a row. Null and plain texts
-    have no row; repeated records count once."""
-    found = rows.where(has_lookalikes(F.col("text"))).select("table_name", "rec_id", F.explode(suspect_words(F.col("text"))).alias("word")).distinct()
+    Only suspect words are shuffled. A word that cannot be brought into one script stands for
+    itself and is still a row. Repeated records count once."""
+    found = suspects.select("table_name", "rec_id", F.explode("suspects").alias("word")).distinct()
     return found.join(canonical_words(found), "word").select("table_name", "rec_id", "word", "canonical")
 
 

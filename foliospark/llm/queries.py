@@ -59,11 +59,10 @@ def p4_figures(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _lookalikes(spark: SparkSession, folder: str) -> DataFrame:
-    """Suspect words of the records that are not garbled; only records with suspect signs are judged."""
+    """Suspect words of the records that are not garbled; only records with suspects are judged."""
     rows = _records(spark, folder)
-    found = cut(lookalikes.occurrences(rows))
-    suspects = rows.where(lookalikes.has_lookalikes(F.col("text")))
-    return found.join(encodings.garbled(suspects, encodings.learn(rows)), ["table_name", "rec_id"], "left_anti")
+    suspects = cut(lookalikes.suspect_records(rows, encodings.words_of(F.col("text"))))
+    return lookalikes.occurrences(suspects).join(encodings.garbled(suspects, encodings.learn(rows)), ["table_name", "rec_id"], "left_anti")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
