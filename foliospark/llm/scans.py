@@ -15,6 +15,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 from math import log
 
 import pyarrow as pa
@@ -35,6 +36,7 @@ CHANGE, JOIN, HALVES, CUT, UNKNOWN, PER_LETTER = 3.0, 0.4, 1.0, 15.0, 12.0, 1.2
 #: A letter read for another is only believed if the word it makes has so many times the pages.
 RATIO = 25
 SPACED = 4
+REMEMBERED = 200_000
 PLAIN = frozenset(".,;:!?…\"'()[]“”„‘’«»—–-‐¬")
 
 _number = re.compile(r"[\s\-–—·•.\[\]()|�]*(?:\d{1,4}|[ivxlc]{1,7}|[IVXLC]{1,7})[\s\-–—·•.\[\]()|�]*")
@@ -48,6 +50,7 @@ class Lexicon:
 
     def __init__(self, pages: dict[str, int], total: int):
         self.pages, self.total = pages, max(total, 1)
+        self.read: dict[str, tuple[str, float, str, bool]] = {}
         self.pairs, self.firsts = Counter(), Counter()
         for word, n in pages.items():
             framed = f"^{word}$"
@@ -106,28 +109,43 @@ def corrected(core: str, lexicon: Lexicon, whole: bool = True) -> tuple[str, int
     return core, 0
 
 
+def reading(token: str, lexicon: Lexicon) -> tuple[str, float, str, bool]:
+    """(as read, cost, repair, single letter) of a token by itself; remembered, as tokens come again."""
+    found = lexicon.read.get(token)
+    if found is None:
+        core = _core.match(token).group(1)
+        at = token.find(core) if core else 0
+        before, after = token[:at], token[at + len(core) :]
+        word, changes = corrected(core, lexicon, PLAIN.issuperset(before + after))
+        cost, repair = lexicon.cost(word) + CHANGE * min(changes, 2) * (word.lower() not in lexicon.pages), "misread" if changes else ""
+        text = before + word + after
+        if core.isalpha() and len(core) > 7 and not changes and core.lower() not in lexicon.pages:
+            for k in range(3, len(core) - 2):
+                if core[:k].lower() in lexicon.pages and core[k:] in lexicon.pages and (apart := lexicon.cost(core[:k]) + lexicon.cost(core[k:]) + CUT) < cost:
+                    text, cost, repair = before + core[:k] + " " + core[k:] + after, apart, "swallowed"
+        if len(lexicon.read) >= REMEMBERED:
+            lexicon.read.clear()
+        found = lexicon.read[token] = (text, cost, repair, len(token.strip(".,;:!?”“\"'()’")) == 1)
+    return found
+
+
 def decode(tokens: list[tuple[str, bool]], lexicon: Lexicon) -> tuple[list[str], Counter]:
     """(words, repairs) of a paragraph's stream of (token, stands at a line's end): the cheapest reading."""
     n = len(tokens)
+    alone = [reading(t, lexicon) for t, _ in tokens]
+    single = [r[3] for r in alone]
+    if not any(ends and len(t) > 1 and t[-1] in HYPHENS for t, ends in tokens) and not any(all(single[i : i + SPACED]) for i in range(n - SPACED + 1)):
+        return [r[0] for r in alone], Counter(r[2] for r in alone if r[2])
     best: list[tuple[float, int, str, str]] = [(0.0, 0, "", "")] + [(float("inf"), 0, "", "")] * n
 
     def offer(i: int, j: int, cost: float, text: str, repair: str) -> None:
         if best[i][0] + cost < best[j][0]:
             best[j] = (best[i][0] + cost, i, text, repair)
 
-    single = [len(m) == 1 for m in (t.strip(".,;:!?”“\"'()’") for t, _ in tokens)]
     for i in range(n):
         token, ends = tokens[i]
-        core = _core.match(token).group(1)
-        at = token.find(core) if core else 0
-        word, changes = corrected(core, lexicon, PLAIN.issuperset(token[:at] + token[at + len(core) :]))
-        whole = token[:at] + word + token[at + len(core) :]
-        plain = lexicon.cost(word) + CHANGE * min(changes, 2) * (word.lower() not in lexicon.pages)
-        offer(i, i + 1, plain, whole, "misread" if changes else "")
-        if core.isalpha() and len(core) > 7 and not changes and core.lower() not in lexicon.pages:
-            for k in range(3, len(core) - 2):
-                if core[:k].lower() in lexicon.pages and core[k:] in lexicon.pages:
-                    offer(i, i + 1, lexicon.cost(core[:k]) + lexicon.cost(core[k:]) + CUT, token[:at] + core[:k] + " " + core[k:] + token[at + len(core) :], "swallowed")
+        text, cost, mend, _ = alone[i]
+        offer(i, i + 1, cost, text, mend)
         if single[i] and token[-1:].isalpha():
             j, run = i, ""
             while j < n and single[j] and j - i < 40:
@@ -156,9 +174,13 @@ def decode(tokens: list[tuple[str, bool]], lexicon: Lexicon) -> tuple[list[str],
     return words[::-1], repairs
 
 
+_not_letter = re.compile(r"[\W\d_]+")
+
+
+@lru_cache(maxsize=4096)
 def letters_of(text: str) -> str:
     """What a title and a header compare by: letters only, compatibility forms and case aside."""
-    return "".join(c for c in unicodedata.normalize("NFKC", text).casefold() if c.isalpha())
+    return _not_letter.sub("", unicodedata.normalize("NFKC", text).casefold())
 
 
 def is_header(line: str, title: str | None, first: bool) -> bool:
@@ -166,8 +188,13 @@ def is_header(line: str, title: str | None, first: bool) -> bool:
 
     Where the title is unknown, a first line of capitalised words with a page number at one end is
     one."""
+    if title and not first and len(line) > 3 * len(title) + 12:
+        return False
     bare = _edge_number.sub("", line).strip(" |·-–—")
     if title and (wanted := letters_of(title)):
+        initial = next((c for c in bare if c.isalpha()), "")
+        if not first and unicodedata.normalize("NFKC", initial).casefold()[:1] not in (wanted[0], "i", "v", "x"):
+            return False
         has = letters_of(bare)
         if has == wanted or letters_of(re.sub(r"\b[ivxlc]+\b", "", bare)) == wanted:
             return True
@@ -262,10 +289,8 @@ def repaired_pages(pages: DataFrame, books: DataFrame, key: str = "page_uid", bo
             keys, texts, counts = [], [], []
             for uid, t, n, name in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 plain = t if n is None else n
-                if kind(plain, figures(plain, common)) != "prose":
-                    continue
                 fixed, repairs = repair(t, name, lexicon)
-                if not only_damaged or any(d in repairs for d in DAMAGE):
+                if (not only_damaged or any(d in repairs for d in DAMAGE)) and kind(plain, figures(plain, common)) == "prose":
                     keys.append(uid)
                     texts.append(None if only_damaged else fixed)
                     counts.append(list(repairs.items()))
