@@ -15,6 +15,7 @@ from foliospark.functions.images import image_info
 from foliospark.functions.layout import LOW_RESOLUTION
 from foliospark.functions.text import file_size, strip
 from foliospark.plans.tree import chapter_code, element_of, fragments, xml_of
+from foliospark.session import cut
 
 #: Parts of file names that tell decoration and background, and ancestors of decoration.
 DECORATIVE = ("logo", "watermark", "copyright", "trademark", "tm", "brand")
@@ -52,14 +53,19 @@ def is_low_resolution(width: Column, height: Column) -> Column:
     return (width > 0) & (height > 0) & ((width < LOW_RESOLUTION) | (height < LOW_RESOLUTION))
 
 
-def child_texts(nodes: DataFrame, tag: str, first_filled: bool = False) -> DataFrame:
-    """(doc_id, parent_id, text): whole text, stripped, of each node's first child of a tag, or of the first with any text."""
-    children = nodes.where(F.col("tag") == tag).select("doc_id", "parent_id", F.col("node_id").alias("c"), "ord")
+#: Children whose texts say something about an image.
+TELLING = ("caption", "title", "label", "textobject")
+
+
+def child_texts(nodes: DataFrame, tags: tuple[str, ...] = TELLING) -> DataFrame:
+    """(doc_id, parent_id, texts): whole text, stripped, of each node's first child of each tag, by tag.
+
+    Of textobjects it is the first with any text. One pass for all tags."""
+    children = nodes.where(F.col("tag").isin(*tags)).select("doc_id", "parent_id", F.col("node_id").alias("c"), "ord", F.col("tag").alias("of"))
     texts = nodes.where("text IS NOT NULL").select("doc_id", "node_id", "text", F.explode("path").alias("c"))
-    whole = children.join(texts, ["doc_id", "c"]).groupBy("doc_id", "parent_id", "c", "ord").agg(strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]), "")).alias("text"))
-    if first_filled:
-        whole = whole.where("text <> ''")
-    return whole.groupBy("doc_id", "parent_id").agg(F.min_by("text", "ord").alias("text"))
+    whole = children.join(texts, ["doc_id", "c"]).groupBy("doc_id", "parent_id", "c", "ord", "of").agg(strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]), "")).alias("text"))
+    first = whole.where("of <> 'textobject' OR text <> ''").groupBy("doc_id", "parent_id", "of").agg(F.min_by("text", "ord").alias("text"))
+    return first.groupBy("doc_id", "parent_id").agg(F.map_from_entries(F.collect_list(F.struct("of", "text"))).alias("texts"))
 
 
 def image_nodes(nodes: DataFrame) -> DataFrame:
@@ -67,17 +73,18 @@ def image_nodes(nodes: DataFrame) -> DataFrame:
     images = nodes.where(F.col("tag").isin("imagedata", "graphic")).withColumn("ref", F.col("attrs")["fileref"]).where("ref <> ''")
     above = images.select("doc_id", "node_id", F.explode("path").alias("a")).where("a <> node_id").join(nodes.select("doc_id", F.col("node_id").alias("a"), F.col("tag").alias("atag"), F.col("attrs").alias("aattrs")), ["doc_id", "a"])
     seen = above.groupBy("doc_id", "node_id").agg(F.min(F.when(F.col("atag") == "figure", F.col("a"))).alias("figure"), F.max(F.when(F.col("atag") == "mediaobject", F.col("a"))).alias("media"), F.max(F.col("atag").isin(*INFO_ANCESTORS)).alias("in_info"), F.min_by("aattrs", F.when(F.col("atag") == "figure", F.col("a"))).alias("fattrs"))
+    said = cut(child_texts(nodes))
     df = images.select("doc_id", "node_id", "path", "attrs", "ref").join(seen, ["doc_id", "node_id"], "left")
-    for name, tag, on, filled in (("f_caption", "caption", "figure", False), ("f_title", "title", "figure", False), ("f_label", "label", "figure", False), ("m_caption", "caption", "media", False), ("m_alt", "textobject", "media", True)):
-        df = df.join(child_texts(nodes, tag, filled).select("doc_id", F.col("parent_id").alias(on), F.col("text").alias(name)), ["doc_id", on], "left")
+    for on, name in (("figure", "f"), ("media", "m")):
+        df = df.join(said.select("doc_id", F.col("parent_id").alias(on), F.col("texts").alias(name)), ["doc_id", on], "left")
     text = lambda c: strip(F.coalesce(c, F.lit("")))
     in_figure = F.col("figure").isNotNull()
-    caption = F.coalesce(F.nullif(text(F.col("f_caption")), F.lit("")), text(F.col("f_title")))
-    labels = [caption, text(F.col("fattrs")["label"]), text(F.col("fattrs")["id"]), text(F.col("f_label")), text(F.col("m_caption")), text(F.col("attrs")["label"]), text(F.col("attrs")["id"])]
+    caption = F.coalesce(F.nullif(text(F.col("f")["caption"]), F.lit("")), text(F.col("f")["title"]))
+    labels = [caption, text(F.col("fattrs")["label"]), text(F.col("fattrs")["id"]), text(F.col("f")["label"]), text(F.col("m")["caption"]), text(F.col("attrs")["label"]), text(F.col("attrs")["id"])]
     own_alt = F.coalesce(F.nullif(F.col("attrs")["alt"], F.lit("")), F.col("attrs")["xlink:title"])
     return df.select(
         "doc_id", "node_id", "path", "ref", "figure", caption.alias("caption"), (F.concat(*labels) != "").alias("labelled"),
-        text(F.coalesce(F.nullif(own_alt, F.lit("")), F.col("m_alt"))).alias("alt_text"), F.col("fattrs")["id"].alias("figure_id"),
+        text(F.coalesce(F.nullif(own_alt, F.lit("")), F.col("m")["textobject"])).alias("alt_text"), F.col("fattrs")["id"].alias("figure_id"),
         image_class(F.col("ref"), in_figure, F.coalesce("in_info", F.lit(False)), F.col("attrs")["role"]).alias("class"),
     )
 
@@ -143,7 +150,7 @@ def catalog_xml(rows: list[dict]) -> bytes:
         image = ET.SubElement(root, "image")
         for name in CATALOG:
             value = row[name]
-            ET.SubElement(image, name).text = str(value).lower() if name == "referenced_in_text" else str(value)
+            ET.SubElement(image, name).text = str(value).lower() if name == "referenced_in_text" else str(int(value)) if name in ("width", "height") else str(value)
     return xml_of(root)
 
 
@@ -165,8 +172,8 @@ def bundles(nodes: DataFrame, media: DataFrame, dtd: str, names: DataFrame | Non
     media by path, and the assets. Parts that would share a file name get a number. Nodes, parts
     and images of a document meet in one task by cogroup; nothing else is gathered."""
     assets = assets or {}
-    parts = fragments(nodes)
-    images = package_images(nodes, media, parts)
+    parts = cut(fragments(nodes))
+    images = cut(package_images(nodes, media, parts))
     framed = parts.select(F.col("doc_id").alias("d"), F.col("node_id").alias("n"), F.struct("frag_ord", "entity", "filename", "kind", "title").alias("frag"))
     left = nodes.join(framed, (F.col("doc_id") == F.col("d")) & (F.col("node_id") == F.col("n")), "left").drop("d", "n")
     named = left if names is None else left.join(names.select("doc_id", F.col("name").alias("bundle")), "doc_id", "left")

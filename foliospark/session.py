@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,9 +29,30 @@ def local_session(cores: int | str = 8, memory: str = "8g", **conf) -> SparkSess
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once an application: they need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    home = Path(__file__).parent
+    # the driver serves the file as long as the application runs
+    folder = tempfile.mkdtemp(prefix="foliospark-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, f"{home.name}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(home.rglob("*.py")):
+            z.write(file, file.relative_to(home.parent))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` materialised in the checkpoint folder that all executors share, its lineage cut.
 
