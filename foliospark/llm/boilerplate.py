@@ -49,7 +49,7 @@ FOUND = T.StructType([T.StructField("line", T.LongType()), T.StructField("depth"
 
 def _chunk(batch: pa.RecordBatch, depth: int, least: int) -> pa.RecordBatch:
     """The lines of a chunk's settled runs (run null), those of its cut runs, and the cut runs' books."""
-    line, book = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    line, book = (batch.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in (0, 1))
     keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(2, batch.num_columns)]
     known = ~np.asarray(batch.column(1).is_null())
     n, out = len(line), {k: [] for k in FOUND.names}

@@ -416,9 +416,15 @@ def restore_text(model: Model, source: str | None, text: str) -> tuple[str, list
     for i, part in enumerate(parts):
         if part.isascii():
             continue
-        options = [r for r in model.readings(part) if r[0] in found and r[1] > (RUN_LOSS if r[3] else -3.0)]
+        options = [r[:2] for r in model.readings(part) if r[3] and r[0] in found]
+        plain = model.likelihood(part)
+        for name in found.keys() - {LOST}:
+            # where a cipher is known to have been at work, a word need not be unlikely to be undone
+            if not by_name[name].multi and (read := by_name[name].undo(part)) is not None and not _two_scripts(read):
+                options.append((name, model.likelihood(read) - plain))
+        options = [o for o in options if o[1] > (RUN_LOSS if by_name[o[0]].multi else -1.0)]
         if options:
-            name = max(options, key=lambda r: r[1])[0]
+            name = max(options, key=lambda o: o[1])[0]
             cipher = by_name[name]
             learned = model.tables.get((source, name), {})
             # a one-sign cipher is a translate() table: the learned letters over the code page's

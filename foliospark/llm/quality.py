@@ -63,7 +63,7 @@ def figures(text: str, common: frozenset[str]) -> dict[str, float]:
         "lines": float(len(lines)),
         "words": float(len(words)),
         "mean_word_length": letters / n if words else 0.0,
-        "symbol_share": (size - spaces - digits - letters) / size,
+        "symbol_share": (len(text) - spaces - digits - letters) / size,
         "digit_share": digits / size,
         "ended_lines": sum(line.rstrip()[-1] in ".!?;:…”\"'»" for line in lines) / max(len(lines), 1),
         "common_share": sum(w.lower() in common for w in words) / n,
@@ -95,7 +95,7 @@ def kind(text: str, f: dict[str, float]) -> str:
     if sentences and not listed and not (ordered and f["sentence_rate"] < 0.04):
         if f["common_share"] >= 0.04 or f["lower_share"] >= 0.5 or f["symbol_share"] > 0.1:
             return "prose"
-    if f["number_columns"] > 0.25 and f["sentence_rate"] < 0.02:
+    if f["number_columns"] > 0.25 and f["sentence_rate"] < 0.02 and leaders <= 0.08:
         return "table"
     if listed:
         return "list"
