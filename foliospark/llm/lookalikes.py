@@ -135,7 +135,10 @@ def plain_form(word: str) -> str:
     votes = {s: (sum(_script(c) == s and c not in twins for c in word), sum(_script(c) == s for c in word), s == "LATIN") for s in scripts}
     script = max(sorted(votes), key=votes.get)
     word = word.translate(_to_latin)
-    return unicodedata.normalize("NFC", word if script == "LATIN" else word.translate(_to[script]))
+    chosen = word if script == "LATIN" else word.translate(_to[script])
+    if len({s for c in chosen if (s := _script(c)) in SCRIPTS}) > 1 and len({s for c in word if (s := _script(c)) in SCRIPTS}) == 1:
+        chosen = word  # not every letter has a twin in that script, but all have a Latin one
+    return unicodedata.normalize("NFC", chosen)
 
 
 FORMED = T.StructType([T.StructField(n, T.StringType()) for n in ("word", "looks", "form")])
