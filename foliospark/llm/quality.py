@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,9 @@ from pyspark.sql import types as T
 #: A word is common if one page in so many has it. A page has few hundred words, so there are at
 #: most a few hundred times this many common words, however large the corpus.
 COMMON_PAGES = 250
+#: Lines whose lengths spread by less than this share of their mean are of one length; entries that make a rhythm.
+EVEN, ENTRIES = 0.2, 6
+ENDS = ".!?;:…”\"'»"
 
 FIGURES = ["lines", "words", "mean_word_length", "symbol_share", "digit_share", "ended_lines", "common_share", "lower_share", "sentence_rate", "enumerated", "delimiter_alignment", "indent_period", "length_autocorrelation", "number_columns"]
 SCHEMA = T.StructType([T.StructField("page_uid", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in FIGURES), T.StructField("kind", T.StringType())])
@@ -23,32 +27,66 @@ _sentence = re.compile(r"[^\W\d_]{2,}['’”\")»�\x80-\x9f]*[.!?;…][\"'”
 _enumerator = re.compile(r"(?:^|(?<=\s))(?:\(?\d{1,3}[.)]|\d{1,2}(?:\.\d{1,2})+|[•▪‣◦*–-])\s+(?=\S)")
 _cell = re.compile(r"(?:^|(?<=[\s|]))(?:[<>~]?\d[\d.,]*%?|\(\d+\)|n/a|[—–-])(?=[\s|]|$)")
 _leader = re.compile(r"(?:\.\s?){4,}\s*\d+|,\s*\d{1,4}(?=[\s,]|$)|\bpp?\.\s*\d+")
+_gap = re.compile(r"(?<=\S)(?: {2,}| *\t[ \t]*)(?=\S)")
 _glyph = re.compile(r"\(cid:\d+\)|/G\d{2}|&#\d+;")
 
 
 def _autocorrelation(values: np.ndarray) -> float:
-    """Of neighbours, about the mean; lines of one length count as 1."""
+    """The strongest at a short distance, about the mean; lines of about one length count as 1."""
     if len(values) < 4:
         return 0.0
     centred = values - values.mean()
-    power = float(centred @ centred)
-    return 1.0 if power == 0 else float(centred[:-1] @ centred[1:]) / power
+    power = float(centred @ centred) / len(values)
+    if power <= (EVEN * values.mean()) ** 2:
+        return 1.0
+    return max(float((centred[p:] * centred[:-p]).mean()) / power for p in range(1, max(2, min(6, len(values) // 3))))
 
 
 def _period(indents: np.ndarray) -> float:
-    """How well the indents of lines repeat with some short period; no indent repeats nothing."""
+    """How well the rarer indents of lines repeat with some short period; no indent repeats nothing."""
     if len(indents) < 6 or not indents.any() or (indents == indents[0]).all():
         return 0.0
-    return max(float((indents[p:] == indents[:-p]).mean()) for p in range(1, min(6, len(indents) // 2)))
+    values, counts = np.unique(indents, return_counts=True)
+    rare, best = indents != values[counts.argmax()], 0.0
+    for p in range(2, max(3, min(6, len(indents) // 2))):
+        either = rare[p:] | rare[:-p]
+        best = max(best, float((indents[p:] == indents[:-p])[either].mean()) if either.any() else 0.0)
+    return best
 
 
 def _alignment(lines: list[str]) -> float:
-    """The share of lines whose delimiters stand in the most frequent number; none at all align nothing."""
+    """The share of lines with a delimiter, or an edge of a gap, at the column where most have one."""
+    edges: Counter = Counter()
+    for line in lines:
+        if "|" in line or "\t" in line or "  " in line:
+            at = lambda i, line=line: len(line[:i].expandtabs(8))
+            own = {("|", at(m.start())) for m in re.finditer(r"\|", line)}
+            for m in _gap.finditer(line):
+                own |= {("end", at(m.start())), ("start", at(m.end()))}
+            edges.update(own)
+    return max(edges.values(), default=0) / len(lines) if lines else 0.0
+
+
+def _evenness(lines: list[str]) -> float:
+    """The share of lines whose delimiters stand in the most frequent number, wherever they stand; none at all are not even."""
     counts = [line.count("|") + line.count("\t") + len(re.findall(r"\S {2,}(?=\S)", line)) for line in lines]
     some = [c for c in counts if c]
     return some.count(max(set(some), key=some.count)) / len(lines) if some else 0.0
 
 
+def _rhythm(lines: list[str], f: dict[str, float]) -> bool:
+    """The lines are entries of one short sentence each, in a rhythm of indents or lengths.
+
+    An entry begins at the outer indent, after a line that ends a sentence; in prose, paragraphs
+    begin at the inner one, and a line wrapped at the margin ends no sentence."""
+    if f["indent_period"] < 0.8 and f["length_autocorrelation"] < 0.6:
+        return False
+    outer = min(len(line) - len(line.lstrip()) for line in lines)
+    starts = [i for i, line in enumerate(lines) if len(line) - len(line.lstrip()) == outer]
+    ended = sum(lines[i - 1].rstrip()[-1] in ENDS for i in starts)
+    return len(starts) >= ENTRIES and ended >= 0.9 * len(starts) and f["words"] <= 15 * len(starts) and f["sentence_rate"] * f["words"] <= 1.2 * max(len(starts), f["ended_lines"] * len(lines))
+
+
 def figures(text: str, common: frozenset[str]) -> dict[str, float]:
     """The figures of one text, all 0 for one without a word."""
     lines = [line for line in text.split("\n") if line.strip()]
@@ -65,7 +103,7 @@ def figures(text: str, common: frozenset[str]) -> dict[str, float]:
         "mean_word_length": letters / n if words else 0.0,
         "symbol_share": (len(text) - spaces - digits - letters) / size,
         "digit_share": digits / size,
-        "ended_lines": sum(line.rstrip()[-1] in ".!?;:…”\"'»" for line in lines) / max(len(lines), 1),
+        "ended_lines": sum(line.rstrip()[-1] in ENDS for line in lines) / max(len(lines), 1),
         "common_share": sum(w.lower() in common for w in words) / n,
         "lower_share": sum(w[0].islower() for w in words) / n,
         "sentence_rate": len(_sentence.findall(text)) / n,
@@ -81,20 +119,24 @@ def kind(text: str, f: dict[str, float]) -> str:
     """prose, list, table, junk or blank.
 
     Prose has sentences: their ends come every few to some dozens of words, most words between are
-    lower case or common, and nothing else orders the page. Without sentences, cells in columns
-    make a table, entries a list, and what has neither is junk."""
+    lower case or common, and nothing else orders the page: lines that all end in full stops are a
+    table if their cells stand in columns, a list if they are short entries in a rhythm of indents or
+    lengths. Without sentences, cells in columns make a table, entries a list, and what has neither is junk."""
     if not text.strip():
         return "blank"
     leaders = len(_leader.findall(text)) / max(f["words"], 1)
     listed = f["enumerated"] > 0.08 or leaders > 0.08
-    tabular = f["number_columns"] > 0.12 or f["delimiter_alignment"] > 0.6 and f["sentence_rate"] < 0.03
+    lines = [line for line in text.split("\n") if line.strip()]
+    tabular = f["number_columns"] > 0.12 or f["sentence_rate"] < 0.03 and max(f["delimiter_alignment"], _evenness(lines)) > 0.6
     if len(_glyph.findall(text)) * 8 > len(text) / 4 or f["words"] < 4 or (f["symbol_share"] > 0.45 and f["common_share"] < 0.1 and f["sentence_rate"] < 0.03):
         return "junk"
     sentences = 0.02 <= f["sentence_rate"] <= 0.3 or f["sentence_rate"] > 0.006 and f["common_share"] >= 0.1
     ordered = f["number_columns"] > 0.12 or tabular and f["common_share"] < 0.3
     if sentences and not listed and not (ordered and f["sentence_rate"] < 0.04):
         if f["common_share"] >= 0.04 or f["lower_share"] >= 0.5 or f["symbol_share"] > 0.1:
-            return "prose"
+            if len(lines) >= 4 and f["delimiter_alignment"] > 0.6 and f["ended_lines"] >= 0.9 and f["words"] <= 20 * len(lines):
+                return "table"
+            return "list" if len(lines) >= ENTRIES and _rhythm(lines, f) else "prose"
     if f["number_columns"] > 0.25 and f["sentence_rate"] < 0.02 and leaders <= 0.08:
         return "table"
     if listed:

@@ -38,3 +38,32 @@ def test_pages(spark):
 def test_common_words_by_share_of_pages(spark):
     df = spark.createDataFrame([(i, f"The own{'abcdefghij'[i]} word") for i in range(10)], "page_uid long, norm_text string")
     assert Q.common_words(df, pages_per_word=2) == {"the", "word"}
+
+
+NAMES = ["Anna", "Carl", "Eva", "Gero", "Ida", "Kurt", "Lena", "Otto"]
+ENTRIES = [f"{n} was in the {w} town." for n, w in zip(NAMES, ["old", "far", "new", "big", "low", "wet", "dry", "hot"])]
+
+
+def test_rhythm_and_columns_decide_where_entries_end_in_full_stops():
+    kind = lambda lines: Q.kind("\n".join(lines), Q.figures("\n".join(lines), COMMON))
+    assert kind(ENTRIES) == "list"
+    hanging = [x for n in NAMES for x in (f"{n} was the one that came with the lamp and it", "    was in the cart.")]
+    assert kind(hanging) == "list"
+    cells = [f"{n}{' ' * (14 - len(n))}{'was with it in the harbour then.' if i % 2 else 'left.'}" for i, n in enumerate(NAMES)]
+    assert kind(cells) == "table"
+    # the same words as prose: wrapped at a margin, with first lines indented, or in lines of any length
+    flowing = " ".join([*ENTRIES, PROSE, PROSE]).split()
+    assert kind([" ".join(flowing[i : i + 7]) for i in range(0, len(flowing), 7)]) == "prose"
+    assert kind([x for n in NAMES for x in (f"    {n} was the one that came with the lamp and it", "was in the cart.")]) == "prose"
+    assert kind([PROSE, "It was so.", PROSE + " " + PROSE, "No.", "That was it, and the cart was in the town.", PROSE, "It is.", PROSE * 2]) == "prose"
+
+
+def test_alignment_is_of_columns_not_of_numbers():
+    ragged, straight = "a  b\nccccc  d\nee  f\nggggggg  h", "a        b\nccccc    d\nee       f\nggggggg  h"
+    assert Q.figures(ragged, COMMON)["delimiter_alignment"] == 0.25 and Q.figures(straight, COMMON)["delimiter_alignment"] == 1.0
+    assert Q.figures("x\tb\nyyyy\td\nzz\tf", COMMON)["delimiter_alignment"] == 1.0
+
+
+def test_indents_of_paragraphs_are_no_rhythm():
+    lines = [" " * 4 * (i in (0, 7, 11, 20)) + "word" for i in range(24)]
+    assert Q.figures("\n".join(lines), COMMON)["indent_period"] < 0.5
