@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliospark.llm.lookalikes import plain_form
 from foliospark.session import cut
 
 READERS = ("cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "cp1253", "iso8859-7", "cp437", "cp850", "mac_roman")
@@ -35,8 +36,9 @@ ALONE, RUN_LOSS = 3.5, -4.0
 LIKELY = -3.0
 #: The share of all signs from which on a letter is in use.
 IN_USE = 1e-5
-#: The share of all words that must gain SURE each before a cipher is believed to occur.
-EVIDENCE, SURE = 4e-5, 10.0
+#: A one-sign cipher is believed of a source with so many different words that gain SURE each, if they
+#: are this share of its own words; and of every source once such words are this share of all words.
+EVIDENCE, SURE, COMMON = 3, 10.0, 4e-5
 LOST = "�"
 #: Signs that the look-alike operator deals with; a cipher that changes nothing else explains nothing.
 NEUTRAL = frozenset(" ­")
@@ -143,9 +145,12 @@ def ciphers() -> list:
 
 
 class Model:
-    """Letter bigrams, each source's share of each cipher, the letters of its symbols."""
+    """Letter bigrams, each source's share of each cipher, the letters of its symbols.
 
-    def __init__(self, bigrams: dict[tuple[str, str], float], shares: dict[tuple[str, str], float], tables: dict[tuple[str, str], dict[str, str]]):
+    `evidence` counts each source's different words that are sure of a cipher, and at "\\n" all its words;
+    without it, as while learning, every cipher is considered of every source."""
+
+    def __init__(self, bigrams: dict[tuple[str, str], float], shares: dict[tuple[str, str], float], tables: dict[tuple[str, str], dict[str, str]], evidence: dict[tuple[str, str], float] | None = None):
         self.bigrams, self.shares, self.tables = bigrams, shares, tables
         firsts, seconds = Counter(), Counter()
         for (x, y), n in bigrams.items():
@@ -158,7 +163,10 @@ class Model:
         self.total_share: dict[str, float] = defaultdict(float)
         for (_, name), n in shares.items():
             self.total_share[name] += n
-        self.live = [c for c in ciphers() if not shares or self.total_share.get(c.name, 0) >= EVIDENCE * max(self.firsts.get("\n", 0), 1)]
+        self.anywhere = {c.name for c in ciphers() if c.multi or evidence is None or self.total_share.get(c.name, 0) >= COMMON * max(self.firsts.get("\n", 0), 1)}
+        self.proven = {(s, c) for (s, c), n in (evidence or {}).items() if c != "\n" and n >= max(EVIDENCE, COMMON * evidence[s, "\n"])}
+        somewhere = self.anywhere | {name for _, name in self.proven}
+        self.live = [c for c in ciphers() if c.name in somewhere]
         self.runs = [c for c in self.live if c.multi]
         self.known: dict[str, tuple] = {}
         self._dense: _Dense | None = None
@@ -216,9 +224,13 @@ class Model:
             return False
         return any(not symbol[0].isalpha() or self.base.get(letter, 0.0) >= IN_USE for symbol, letter in cipher.symbols(word))
 
+    def believed(self, source: str | None, name: str) -> bool:
+        """Whether texts of the source may have met the cipher."""
+        return name in self.anywhere or (source, name) in self.proven
+
     def best(self, word: str, source: str | None = None) -> tuple[str, float, str, bool] | None:
         """The reading that beats the word as it stands."""
-        found = [r for r in self.readings(word) if r[1] > self.doubt(source, r)]
+        found = [r for r in self.readings(word) if self.believed(source, r[0]) and r[1] > self.doubt(source, r)]
         return max(found, key=lambda r: r[1]) if found else None
 
     def doubt(self, source: str | None, reading: tuple) -> float:
@@ -293,7 +305,7 @@ EXPECTED = T.StructType([T.StructField("kind", T.StringType()), T.StructField("a
 
 def _expect(model: Model | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One expectation step over (word, sources): counted bigrams, shares and symbols of this partition."""
-    bigrams, shares, symbols = Counter(), Counter(), Counter()
+    bigrams, shares, symbols, evidence = Counter(), Counter(), Counter(), Counter()
     by_name = {c.name: c for c in ciphers()}
     for batch in batches:
         words = batch.column(0).to_pylist()
@@ -306,13 +318,18 @@ def _expect(model: Model | None, batches: Iterator[pa.RecordBatch]) -> Iterator[
             framed = f"\n{read}\n"
             for pair in zip(framed, framed[1:]):
                 bigrams[pair] += n
+            for s in sources:
+                evidence[s["source"], "\n"] += s["n"]
             if best:
+                # letters of another script that look like the word's own tell of no cipher
+                alike = _two_scripts(word) and not _two_scripts(plain_form(word))
                 for s in sources:
                     if best[1] >= SURE:
                         shares[s["source"], best[0]] += s["n"]
+                        evidence[s["source"], best[0]] += not alike
                     for symbol, letter in by_name[best[0]].symbols(word):
                         symbols[s["source"], best[0], symbol + "\n" + letter] += s["n"]
-    rows = [("bigram", x, y, None, float(n)) for (x, y), n in bigrams.items()] + [("share", s, k, None, float(n)) for (s, k), n in shares.items()] + [("symbol", s, k, v, float(n)) for (s, k, v), n in symbols.items()]
+    rows = [("bigram", x, y, None, float(n)) for (x, y), n in bigrams.items()] + [("share", s, k, None, float(n)) for (s, k), n in shares.items()] + [("evidence", s, k, None, float(n)) for (s, k), n in evidence.items()] + [("symbol", s, k, v, float(n)) for (s, k, v), n in symbols.items()]
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [*[pa.string()] * 4, pa.float64()])], EXPECTED.names)
 
@@ -324,21 +341,23 @@ def learn(rows: DataFrame, rounds: int = ROUNDS) -> Model:
     counted = exploded.groupBy("source", "word").agg(F.count("*").alias("n"))
     vocabulary = cut(counted.groupBy("word").agg(F.collect_list(F.struct("source", "n")).alias("sources")))
     model: Model | None = None
-    for _ in range(rounds + 1):
+    for left in range(rounds, -1, -1):
         shared = spark.sparkContext.broadcast(model)
         counted = vocabulary.mapInArrow(lambda batches, shared=shared: _expect(shared.value, batches), EXPECTED)
-        bigrams, shares, symbols = {}, {}, defaultdict(dict)
+        bigrams, shares, symbols, evidence = {}, {}, defaultdict(dict), {}
         for r in counted.groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n")).collect():
             if r.kind == "bigram":
                 bigrams[r.a, r.b] = r.n
             elif r.kind == "share":
                 shares[r.a, r.b] = r.n
+            elif r.kind == "evidence":
+                evidence[r.a, r.b] = r.n
             else:
                 symbol, letter = r.c.split("\n", 1)
                 if r.n > symbols[r.a, r.b].get(symbol, ("", 0.0))[1]:
                     symbols[r.a, r.b][symbol] = (letter, r.n)
         tables = {k: {s: letter for s, (letter, _) in v.items()} for k, v in symbols.items()}
-        model = Model(bigrams, shares, tables)
+        model = Model(bigrams, shares, tables, None if left else evidence)
         shared.unpersist()
     return model
 
@@ -358,7 +377,7 @@ def judge(model: Model, source: str | None, words: list[str]) -> dict[str, float
     for word in set(words):
         if LOST in word:
             found[LOST] = found.get(LOST, 0.0) + 1
-        readings = model.readings(word)
+        readings = [r for r in model.readings(word) if model.believed(source, r[0])]
         best = max(readings, key=lambda r: r[1], default=None)
         if best and best[3] and best[1] > RUN_LOSS:
             found[best[0]] = found.get(best[0], 0.0) + best[1]

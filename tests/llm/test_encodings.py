@@ -94,3 +94,18 @@ def test_screening_finds_what_reading_finds(case):
     screened = E.Model(model.bigrams, model.shares, model.tables)
     screened.prepare(words)
     assert [plain.readings(w) for w in words] == [screened.readings(w) for w in words]
+
+
+def found_of_small_source(spark, clean_repeats, writer="koi8-r", reader="cp1251", tongue="ru"):
+    """The records found of a source with six garbled ones, beside sources with so many times 60 clean texts."""
+    rng = random.Random(5)
+    text = lambda t, n: " ".join("".join(rng.choices(TONGUES[t], k=rng.randint(2, 4))) for _ in range(n))
+    rows = [(i, " ".join([text(t, 20)] * clean_repeats), f"s{i % 3}") for i, t in enumerate(list(TONGUES) * 12)]
+    rows += [(1000 + i, read_as(text(tongue, 6), writer, reader), "small") for i in range(6)] + [(2000, read_as("für", "utf-8", "cp850") + " und", "other")]
+    records = E.records([("a", spark.createDataFrame(rows, "k long, t string, s string"), "k", "t", "s")])
+    return {r.rec_id for r in E.garbled(records, E.learn(records)).collect()}
+
+
+def test_clean_rows_of_others_hide_no_source(spark):
+    few, many = found_of_small_source(spark, 1), found_of_small_source(spark, 1500)
+    assert few >= {1000, 1001, 1002, 1003, 1004, 1005, 2000} and many == few
