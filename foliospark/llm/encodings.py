@@ -4,8 +4,8 @@ Each (reader, writer) pair of code pages is a substitution cipher over the bytes
 one whose symbols are runs of bytes. Nothing says which ciphers a source has met, so they are
 learned: expectation takes, for every word with a letter outside ASCII, the cipher under which the
 language's letter bigrams make it most likely; maximisation counts the bigrams of the words so
-read, each source's share of each cipher and the letters that each of its symbols stands for. The
-learned tables are applied with translate(). All words of all records count; what the driver holds
+read and each source's share of each cipher. What a symbol stands for is not learned but given by
+the code pages; the symbols met are counted, and applied with translate(). All words of all records count; what the driver holds
 are bigrams, shares and symbol tables, whose size the alphabets bound.
 """
 
@@ -26,7 +26,9 @@ from foliospark.llm.lookalikes import plain_form
 from foliospark.session import cut
 
 READERS = ("cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "cp1253", "iso8859-7", "cp437", "cp850", "mac_roman")
-WRITERS = ("cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "cp1253", "iso8859-7", "mac_roman")
+WRITERS = ("cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "cp1253", "iso8859-7", "mac_roman", "cp437", "cp850", "latin-1")
+#: Latin-1 has nothing but control signs where it differs from cp1252, so nobody has written them.
+SAME = {("cp1252", "latin-1")}
 ROUNDS = 3
 #: What a word must gain, in nats, before a cipher nobody has met is believed; a learned share lowers it.
 DOUBT = 6.0
@@ -140,7 +142,7 @@ def _two_scripts(word: str) -> bool:
 def ciphers() -> list:
     """All ciphers considered: UTF-8 as each reader, twice over too, and every pair of code pages."""
     if not _ciphers:
-        _ciphers.extend([MultiByte(r) for r in READERS] + [MultiByte(r, 2) for r in ("cp1252", "latin-1")] + [SingleByte(r, w) for r in READERS for w in WRITERS if r != w and {r, w} != {"cp1252", "latin-1"}])
+        _ciphers.extend([MultiByte(r) for r in READERS] + [MultiByte(r, 2) for r in READERS] + [SingleByte(r, w) for r in READERS for w in WRITERS if r != w and (r, w) not in SAME])
     return _ciphers
 
 

@@ -109,3 +109,28 @@ def found_of_small_source(spark, clean_repeats, writer="koi8-r", reader="cp1251"
 def test_clean_rows_of_others_hide_no_source(spark):
     few, many = found_of_small_source(spark, 1), found_of_small_source(spark, 1500)
     assert few >= {1000, 1001, 1002, 1003, 1004, 1005, 2000} and many == few
+
+
+@pytest.mark.parametrize("tongue, writer, reader", [("de", "cp850", "cp1252"), ("fr", "cp850", "latin-1"), ("de", "cp437", "cp1252"), ("fr", "cp437", "cp1250")])
+def test_pages_of_dos_are_undone(spark, tongue, writer, reader):
+    rng = random.Random(11)
+    text = lambda t, n: " ".join("".join(rng.choices(TONGUES[t], k=rng.randint(2, 4))) for _ in range(n))
+    rows = [(i, text(t, 25), f"s{i % 3}") for i, t in enumerate(list(TONGUES) * 60)]
+    truth = {1000 + i: text(tongue, 12) for i in range(4)}
+    rows += [(k, read_as(t, writer, reader), "dos") for k, t in truth.items()]
+    records = E.records([("a", spark.createDataFrame(rows, "k long, t string, s string"), "k", "t", "s")])
+    model = E.learn(records)
+    assert {r.rec_id for r in E.garbled(records, model).collect()} == truth.keys()
+    got = {r.rec_id: r.restored for r in E.restored(records, model).collect()}
+    assert sum(got.get(k) == t for k, t in truth.items()) >= 0.9 * len(truth)
+
+
+@pytest.mark.parametrize("reader", ["cp1250", "mac_roman"])
+def test_utf8_twice_over_by_every_reader(reader):
+    cipher = next(c for c in E.ciphers() if c.name == f"utf-8>{reader}*")
+    assert cipher.undo(read_as(read_as("für", "utf-8", reader), "utf-8", reader)) == "für"
+
+
+def test_quotes_of_cp1252_read_as_latin_1():
+    cipher = next(c for c in E.ciphers() if c.name == "cp1252>latin-1")
+    assert cipher.undo(read_as("“für”", "cp1252", "latin-1")) == "“für”"
