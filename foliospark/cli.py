@@ -10,10 +10,10 @@ from xml.etree import ElementTree as ET
 from pyspark.sql import functions as F
 
 from foliospark import config
-from foliospark.operators.pages import report_rows, split_pages
-from foliospark.pipeline import convert_epubs, convert_layouts
+from foliospark.operators.pages import page_ranges, report_rows, split_pages
+from foliospark.pipeline import Converted, convert_epubs, convert_layouts, to_read_again
 from foliospark.plans.tree import NODE, rows_of
-from foliospark.session import local_session
+from foliospark.session import cut, local_session
 from foliospark.sinks.reports import write_csv
 from foliospark.sources.markup import read_manifest
 from foliospark.sources.tools import extract, missing
@@ -49,6 +49,25 @@ def existing_file(path: str) -> str:
     return path
 
 
+def _convert_pdfs(files, again: list[int], settings: dict, strict: bool) -> tuple[Converted, list[int]]:
+    """The conversion of PDF files, image-only pages of those in `again` read by the ocr tool first; those it failed on."""
+
+    def pages_of(files):
+        return cut(split_pages(extract(files, "text").select("doc_id", F.decode("output", "UTF-8").alias("t")), "doc_id", "t"))
+
+    pages, blank, unread = pages_of(files), None, []
+    if again:
+        blank = cut(to_read_again(pages, pages, settings).where(F.col("doc_id").isin(again)))
+        read = cut(extract(files.join(page_ranges(blank).withColumnRenamed("ranges", "pages"), "doc_id"), "ocr"))
+        unread = [r.doc_id for r in read.where("output IS NULL").collect()]
+        blank = blank.where(~F.col("doc_id").isin(unread)) if unread else blank
+        files = cut(files.join(read.select("doc_id", "output"), "doc_id", "left").select("doc_id", F.coalesce("output", "content").alias("content")))
+        pages = pages_of(files)
+    layouts = cut(extract(files, "layout", media=True))
+    media = layouts.select("doc_id", F.inline("media"))
+    return convert_layouts(pages, pages, layouts.select("doc_id", F.col("output").alias("content")), media, settings, strict, bool(again), blank), unread
+
+
 def _convert(spark, jobs: list[dict], kind: str, args) -> list[str]:
     """Bundles and reports of the jobs of a kind and publisher; the inputs that failed."""
     failed = []
@@ -63,11 +82,11 @@ def _convert(spark, jobs: list[dict], kind: str, args) -> list[str]:
         if kind == "epub":
             made = convert_epubs(files, settings, args.strict)
         else:
-            if lacking := missing(["pdftotext", "pdftohtml"]):
+            again = [i for i, j in enumerate(readable) if str(j.get("ocr_on_image_only") or "").lower() in ("true", "1", "yes")]
+            if lacking := missing(["pdftotext", "pdftohtml", *(["ocrmypdf"] if again else [])]):
                 raise RuntimeError("not installed: " + ", ".join(lacking))
-            texts = extract(files, "text").select("doc_id", F.decode("output", "UTF-8").alias("t"))
-            pages = split_pages(texts, "doc_id", "t")
-            made = convert_layouts(pages, pages, extract(files, "layout").select("doc_id", F.col("output").alias("content")), spark.createDataFrame([], "doc_id long, ref string, content binary"), settings, args.strict)
+            made, unread = _convert_pdfs(files, again, settings, args.strict)
+            failed += [readable[i]["input"] for i in unread]
         failed += [readable[r.doc_id]["input"] for r in made.errors.collect()]
         for row in made.bundles.select("doc_id", "content").toLocalIterator():
             target = Path(readable[row.doc_id]["out"])
@@ -94,7 +113,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "batch":
         jobs = [r.asDict() for r in read_manifest(spark, args.manifest).toLocalIterator()]
     else:
-        jobs = [{"type": args.command, "input": args.input, "out": args.out, "publisher": args.publisher}]
+        jobs = [{"type": args.command, "input": args.input, "out": args.out, "publisher": args.publisher, "ocr_on_image_only": getattr(args, "ocr_on_image_only", False)}]
     failed = [j["input"] for j in jobs if j["type"] not in ("pdf", "epub")]
     for kind in ("pdf", "epub"):
         if own := [j for j in jobs if j["type"] == kind]:

@@ -36,11 +36,11 @@ def instructions(href: str = STYLESHEET) -> list[tuple[str, str]]:
     return [("xml-stylesheet", f'type="text/css" href="{href}"')]
 
 
-def convert_layouts(first: DataFrame, second: DataFrame, layouts: DataFrame, media: DataFrame, settings: dict | None = None, strict: bool = False, ocr: bool = False) -> Converted:
+def convert_layouts(first: DataFrame, second: DataFrame, layouts: DataFrame, media: DataFrame, settings: dict | None = None, strict: bool = False, ocr: bool = False, read_again: DataFrame | None = None) -> Converted:
     """Two extractions of page texts (doc_id, page_num, raw_text) and the layout files (doc_id, content) to bundles.
 
-    `strict` raises if the extractions differ on any page. With `ocr`, image-only pages are flagged;
-    which to read again is `page_ranges` of image_only. Quality compares pages with themselves as
+    `strict` raises if the extractions differ on any page. With `ocr`, image-only pages are flagged,
+    or those of `read_again` where the files were read again already; which to read again is `to_read_again`. Quality compares pages with themselves as
     extracted and normalised, so its flags show duplicates only."""
     settings = settings or config.DEFAULTS
     rules = config.Normalization.of(settings)
@@ -48,7 +48,7 @@ def convert_layouts(first: DataFrame, second: DataFrame, layouts: DataFrame, med
     mismatches, blank = mismatched_pages(a, b), image_only_pages(a, b)
     if strict and (bad := mismatches.limit(1).collect()):
         raise ValueError(f"the extractions differ, first on page {bad[0].page_num} of {bad[0].doc_id}")
-    pages = with_ocr_flag(a, blank) if ocr else a.withColumn("has_ocr", F.lit(False))
+    pages = with_ocr_flag(a, blank if read_again is None else read_again) if ocr else a.withColumn("has_ocr", F.lit(False))
     entries = parse_layout(layouts)
     fonts, texts, images = layout_tables(entries)
     blocks = classify(label_blocks(assemble_lines(with_font_size(texts, fonts)), images, settings["pdf"]["list_markers"]))
@@ -56,6 +56,12 @@ def convert_layouts(first: DataFrame, second: DataFrame, layouts: DataFrame, med
     return Converted(pages, page_quality(pages, pages), nodes, bundles(nodes, media, settings["docbook"]["dtd_system"], instructions=instructions()), mismatches, blank, entries.where("kind = 'error'").select("doc_id", F.col("content").alias("error")))
 
 
+def to_read_again(first: DataFrame, second: DataFrame, settings: dict | None = None) -> DataFrame:
+    """The image-only pages of two extractions."""
+    rules = config.Normalization.of(settings or config.DEFAULTS)
+    return image_only_pages(*(normalize_pages(x, rules.collapse, rules.dehyphenate) for x in (first, second)))
+
+
 def ocr_requests(converted: Converted) -> DataFrame:
     """(doc_id, ranges): the pages to read again."""
     return page_ranges(converted.image_only)

@@ -60,12 +60,25 @@ def _ocr(path: str, pages: str = "") -> bytes:
 TOOLS = {"text": _text, "layout": _layout, "mined": _mined, "ocr": _ocr}
 
 
-def extract(files: DataFrame, tool: str) -> DataFrame:
+def _made(folder: str) -> list[dict]:
+    """The files that a program left beside its input and its own output."""
+    found = []
+    for name in sorted(os.listdir(folder)):
+        if name not in ("in.pdf", "layout.xml") and os.path.isfile(os.path.join(folder, name)):
+            with open(os.path.join(folder, name), "rb") as one:
+                found.append({"ref": name, "content": one.read()})
+    return found
+
+
+def extract(files: DataFrame, tool: str, media: bool = False) -> DataFrame:
     """(doc_id, output, error): what a tool makes of each (doc_id, content[, pages]); one file's failure is its own.
 
     `text` gives pages apart by form feeds, `layout` layout XML, `mined` the second extraction,
-    `ocr` the PDF with the pages of `pages` read again, unchanged where that is empty."""
+    `ocr` the PDF with the pages of `pages` read again, unchanged where that is empty. With
+    `media` there is a column of that name too: the files that the tool wrote, by the names (ref)
+    that its output has for them."""
     work, paged = TOOLS[tool], tool == "ocr"
+    names = ["doc_id", "output", "error", *(["media"] if media else [])]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -76,9 +89,11 @@ def extract(files: DataFrame, tool: str) -> DataFrame:
                     with open(path, "wb") as out:
                         out.write(bytes(content))
                     try:
-                        rows.append((doc, work(path, pdf["pages"].iloc[i] or "") if paged else work(path), None))
+                        output = work(path, pdf["pages"].iloc[i] or "") if paged else work(path)
+                        # names without the folder, which is gone with this file
+                        rows.append((doc, output.replace(os.fsencode(folder + os.sep), b"") if media else output, None, _made(folder) if media else []))
                     except (RuntimeError, OSError) as wrong:
-                        rows.append((doc, None, str(wrong)))
-            yield pd.DataFrame(rows, columns=["doc_id", "output", "error"])
+                        rows.append((doc, None, str(wrong), []))
+            yield pd.DataFrame(rows, columns=["doc_id", "output", "error", "media"])[names]
 
-    return files.select("doc_id", "content", *(["pages"] if paged else [])).mapInPandas(each, "doc_id long, output binary, error string")
+    return files.select("doc_id", "content", *(["pages"] if paged else [])).mapInPandas(each, "doc_id long, output binary, error string" + ", media array<struct<ref string, content binary>>" * media)

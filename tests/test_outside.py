@@ -111,3 +111,40 @@ def test_late_pages(spark):
     df = spark.createDataFrame([("x", True), ("x", False)], "extractor string, has_ocr boolean").withColumn("ingested_at", F.lit("2025-01-01 10:00:00").cast("timestamp"))
     row = filedrop.late_pages(df).first()
     assert (row.pages, row.scanned) == (2, 1)
+
+
+def test_pdf_command_keeps_images_and_reads_image_only_pages_again(spark, tmp_path, monkeypatch):
+    import os
+    import struct
+    import zipfile
+
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sIIBBBBB", 13, b"IHDR", 300, 200, 8, 2, 0, 0, 0) + b"\0" * 4
+
+    def text(path):
+        with open(path, "rb") as one:
+            return b"Page one has words.\f" + (b"Read again.\f" if b"ocr:2" in one.read() else b"\f")
+
+    def layout(path):
+        folder = os.path.dirname(path)
+        with open(path, "rb") as one:
+            more = b'<text top="50" left="50" width="200" height="12" font="0">Read again.</text>' if b"ocr:2" in one.read() else b""
+        with open(os.path.join(folder, "layout-1_1.png"), "wb") as out:
+            out.write(png)
+        return b'<pdf2xml><page number="1" height="800" width="600"><fontspec id="0" size="10" family="x" color="#000"/><text top="50" left="50" width="200" height="12" font="0">Page one has words.</text><image top="100" left="50" width="300" height="200" src="' + os.path.join(folder, "layout-1_1.png").encode() + b'"/><text top="310" left="50" width="200" height="12" font="0">Figure 1. A thing.</text></page><page number="2" height="800" width="600">' + more + b"</page></pdf2xml>"
+
+    def ocr(path, pages=""):
+        return b"ocr:" + pages.encode()
+
+    for name, work in (("text", text), ("layout", layout), ("ocr", ocr)):
+        monkeypatch.setitem(tools.TOOLS, name, work)
+    monkeypatch.setattr(cli, "missing", lambda programs: [])
+    (tmp_path / "a.pdf").write_bytes(b"pdf")
+
+    def bundle(*flags):
+        assert cli.main(["--report-dir", str(tmp_path / "r"), "pdf", "--input", str(tmp_path / "a.pdf"), "--out", str(tmp_path / "a.zip"), "--publisher", "p", *flags]) == 0
+        with zipfile.ZipFile(tmp_path / "a.zip") as z:
+            return {n: z.read(n) for n in z.namelist()}
+
+    plain, again = bundle(), bundle("--ocr-on-image-only")
+    assert png in plain.values() and png in again.values()
+    assert not any(b"Read again" in c for c in plain.values()) and any(b"Read again" in c for c in again.values())
