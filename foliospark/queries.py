@@ -203,6 +203,12 @@ def page_ranges(spark: SparkSession, d: str) -> DataFrame:
     return pages_of.page_ranges(_pages(spark, d).where("page_uid % 3 > 0"))
 
 
+@query(f"WITH {PAGES}, {MIRROR}, n AS (SELECT DISTINCT p.doc_id, p.page_num FROM pages p LEFT JOIN mirror m ON p.doc_id = m.doc_id AND p.page_num = m.page_num WHERE p.page_num IS NOT NULL AND (m.norm_text IS NULL OR p.norm_text <> m.norm_text)), g AS (SELECT doc_id, page_num, page_num - row_number() OVER (PARTITION BY doc_id ORDER BY page_num) AS i FROM n), s AS (SELECT doc_id, min(page_num) AS a, max(page_num) AS b FROM g GROUP BY doc_id, i) SELECT doc_id, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ',' ORDER BY a) AS ranges FROM s GROUP BY doc_id")
+def mismatch_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Page numbers that the mirror lacks or has otherwise, of each book as ranges; their gaps are the tables' own."""
+    return pages_of.page_ranges(pages_of.mismatched_pages(_pages(spark, d), _mirror(spark, d)))
+
+
 # lines
 
 

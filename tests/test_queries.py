@@ -19,3 +19,8 @@ def test_queries_without_sql_run(spark, data, name):
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
     assert queries.QUERIES.keys() <= entry.queries().keys() and entry.oracle_sql().keys() <= entry.queries().keys()
+
+
+def test_ranges_of_pages_with_gaps_of_their_own(spark, data):
+    got = entry.queries()["mismatch_ranges"](spark, data).collect()
+    assert got and any("," in r.ranges for r in got)
