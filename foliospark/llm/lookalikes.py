@@ -1,21 +1,25 @@
 """Strings that look alike and differ in their characters.
 
-A word is suspect if it holds a compatibility form of a letter or digit, a separate mark for which
-a single character exists, an invisible character, an unusual space, or letters of two of the
-Latin, Cyrillic and Greek scripts. The suspect words are mapped to what they look like, and the
-mapped values are grouped in SQL under the accent-sensitive Unicode collation, which holds
-canonically equal and invisibly different strings for one. One member of each class, chosen by a
-fixed order among its plain forms, is canonical and joined back to the texts.
+Every word that is not plain ASCII is mapped to what it looks like: compatibility forms plain, marks
+composed, spaces plain, invisible characters gone, and, only where letters of two of the Latin,
+Cyrillic and Greek scripts stand in it, all letters in the one script that can write the whole word.
+Mapped values are grouped in SQL, script by script, under the accent-sensitive Unicode collation,
+which holds canonically equal and invisibly different strings for one. One member of each class,
+chosen by a fixed order among its mapped values, is canonical and joined back; a word that is not
+its class's canonical member is a case. Words of one script keep it. A word that no script can write
+whole has no canonical member: it is a case and stands as it is.
 """
 
 from __future__ import annotations
 
 import sys
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +33,8 @@ SCRIPTS = {"LATIN": r"\p{IsLatin}", "CYRILLIC": r"\p{IsCyrillic}", "GREEK": r"\p
 SPACES = r"\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}"
 #: Format characters, and the letters and selectors that are drawn as nothing.
 INVISIBLE = r"\p{Cf}\x{34F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180D}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}"
+#: What Unicode calls the forms meant here; superscripts, fractions and circled signs are none.
+COMPATIBLE = ("<wide>", "<narrow>", "<compat>", "<font>")
 NOT_ALONE = frozenset("µ")
 
 
@@ -51,7 +57,7 @@ def compatibility_forms() -> str:
     for code in range(0x80, sys.maxunicode + 1):
         sign = chr(code)
         kind = unicodedata.decomposition(sign).split(" ")[0]
-        if kind in ("<wide>", "<narrow>", "<compat>", "<font>") and sign.isalnum() and sign not in NOT_ALONE and unicodedata.normalize("NFKC", sign).isalnum():
+        if kind in COMPATIBLE and sign.isalnum() and sign not in NOT_ALONE and unicodedata.normalize("NFKC", sign).isalnum():
             codes.append(code)
     return _ranges(codes)
 
@@ -86,26 +92,49 @@ def _patterns():
     return signs, regex.compile(plain(composing_pairs())), regex.compile(plain(mixed_scripts())), regex.compile(plain(rf"[\p{{L}}\p{{M}}\p{{N}}{INVISIBLE}]++|[{SPACES}]"))
 
 
-_suspects: dict[str, tuple[str, ...]] = {}
+_changed: dict[str, tuple[str, ...]] = {}
 
 
-def suspects_in(text: str) -> tuple[str, ...]:
-    """The distinct suspect words and unusual spaces of a text or a piece of one, in their order; remembered for short ones."""
-    found = _suspects.get(text)
+def changed_in(text: str) -> tuple[str, ...]:
+    """The distinct words and spaces of a text or a piece of one that mapping changes or cannot write, in their order; remembered for short pieces."""
+    found = _changed.get(text)
     if found is None:
-        signs, pairs, scripts, parts = _patterns()
-        found = tuple(dict.fromkeys(p for p in parts.findall(text) if not p.isascii() and (signs.search(p) or pairs.search(p) or scripts.search(p))))
+        parts = dict.fromkeys(p for p in _patterns()[3].findall(text) if not p.isascii())
+        found = tuple(p for p in parts if resolved(p)[2] != p)
         if len(text) < 100:
-            if len(_suspects) > 200_000:
-                _suspects.clear()
-            _suspects[text] = found
+            if len(_changed) > 200_000:
+                _changed.clear()
+            _changed[text] = found
     return found
 
 
+def is_suspect(word: str) -> bool:
+    """The definition, read directly: a compatibility form, a composing pair, an invisible character, an unusual space or two scripts."""
+    signs, pairs, scripts, _ = _patterns()
+    return bool(signs.search(word) or pairs.search(word) or scripts.search(word))
+
+
+def suspects_in(text: str) -> tuple[str, ...]:
+    """The distinct words and spaces of a text that the definition names."""
+    return tuple(w for w in changed_in(text) if is_suspect(w))
+
+
+@cache
+def _plain_sign(sign: str) -> str:
+    """What one character is drawn as: nothing, a plain space, the plain form of a letter or digit, or itself."""
+    if _is_invisible(sign):
+        return ""
+    if unicodedata.category(sign) == "Zs":
+        return " "
+    kind = unicodedata.decomposition(sign).split(" ")[0]
+    if kind in COMPATIBLE and sign.isalnum() and sign not in NOT_ALONE and (plain := unicodedata.normalize("NFKC", sign)).isalnum():
+        return plain
+    return sign
+
+
 def _visible(word: str) -> str:
     """Compatibility forms plain, marks composed, spaces plain, invisible characters gone."""
-    kept = (c for c in word if not _is_invisible(c))
-    return unicodedata.normalize("NFC", "".join(" " if unicodedata.category(c) == "Zs" else unicodedata.normalize("NFKC", c) if unicodedata.decomposition(c)[:1] == "<" and c.isalnum() else c for c in kept))
+    return unicodedata.normalize("NFC", "".join(map(_plain_sign, word)))
 
 
 @cache
@@ -115,61 +144,82 @@ def _is_invisible(sign: str) -> bool:
 
 @cache
 def _script(sign: str) -> str:
-    return unicodedata.name(sign, "").split(" ")[0] if sign.isalpha() else ""
+    """Which of the three scripts a letter is of, else an empty string."""
+    name = unicodedata.name(sign, "").split(" ")[0] if sign.isalpha() else ""
+    return name if name in SCRIPTS else ""
 
 
-_to_latin = str.maketrans(CYRILLIC_TWINS[1] + GREEK_TWINS[1], CYRILLIC_TWINS[0] + GREEK_TWINS[0])
-_to = {"CYRILLIC": str.maketrans(*CYRILLIC_TWINS), "GREEK": str.maketrans(*GREEK_TWINS)}
+_twins = {("CYRILLIC", "LATIN"): dict(zip(*CYRILLIC_TWINS[::-1])), ("LATIN", "CYRILLIC"): dict(zip(*CYRILLIC_TWINS)), ("GREEK", "LATIN"): dict(zip(*GREEK_TWINS[::-1])), ("LATIN", "GREEK"): dict(zip(*GREEK_TWINS))}
 
 
-def plain_form(word: str) -> str:
-    """A word as it should be written: visible, in the script that its unmistakable letters have.
+def _twin(sign: str, script: str) -> str | None:
+    """The letter of a script that looks like this one, by way of Latin where need be."""
+    own = _script(sign)
+    if not own or own == script:
+        return sign
+    latin = sign if own == "LATIN" else _twins[own, "LATIN"].get(sign)
+    return latin if script == "LATIN" or latin is None else _twins["LATIN", script].get(latin)
 
-    Letters with no twin decide; where there are none, the script of most letters does, Latin
-    before the others."""
+
+def in_script(word: str, script: str) -> str | None:
+    """The word with every letter in one script, accents kept; None if a letter has no twin there."""
+    signs = [_twin(c, script) for c in unicodedata.normalize("NFD", word)]
+    return None if None in signs else unicodedata.normalize("NFC", "".join(signs))
+
+
+def resolved(word: str) -> tuple[str, str, str | None]:
+    """(script, what the word looks like, its mapped value).
+
+    A word of one script, or of none of the three, is mapped within it. Of the scripts that can
+    write a mixed word whole, the one that most of its letters have is taken, Latin, then Cyrillic,
+    before the others; where none can, the script is `mixed` and the mapped value null."""
     word = _visible(word)
-    scripts = {s for c in word if (s := _script(c)) in SCRIPTS}
-    if len(scripts) < 2:
-        return word
-    twins = set("".join((*CYRILLIC_TWINS, *GREEK_TWINS)))
-    votes = {s: (sum(_script(c) == s and c not in twins for c in word), sum(_script(c) == s for c in word), s == "LATIN") for s in scripts}
-    script = max(sorted(votes), key=votes.get)
-    word = word.translate(_to_latin)
-    chosen = word if script == "LATIN" else word.translate(_to[script])
-    if len({s for c in chosen if (s := _script(c)) in SCRIPTS}) > 1 and len({s for c in word if (s := _script(c)) in SCRIPTS}) == 1:
-        chosen = word  # not every letter has a twin in that script, but all have a Latin one
-    return unicodedata.normalize("NFC", chosen)
+    counts = Counter(s for c in word if (s := _script(c)))
+    if len(counts) < 2:
+        return next(iter(counts), ""), word, word
+    options = [(-counts[s], k, s, form) for k, s in enumerate(SCRIPTS) if (form := in_script(word, s)) is not None]
+    if not options:
+        return "mixed", word, None
+    _, _, script, form = min(options)
+    return script, form, form
 
 
-FORMED = T.StructType([T.StructField(n, T.StringType()) for n in ("word", "looks", "form")])
+def plain_form(word: str) -> str:
+    """A word as it should be written: its mapped value, else its visible form. Applied again it changes nothing."""
+    _, looks, form = resolved(word)
+    return looks if form is None else form
+
+
+FORMED = T.StructType([T.StructField(n, T.StringType()) for n in ("word", "script", "looks", "form")])
 
 
 def _form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words = batch.column(0).to_pylist()
-        looks = [_visible(w).translate(_to_latin) for w in words]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(looks, pa.string()), pa.array([plain_form(w) for w in words], pa.string())], FORMED.names)
+        columns = [words, *zip(*map(resolved, words))] if words else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], FORMED.names)
 
 
 def canonical_words(words: DataFrame) -> DataFrame:
-    """(word, canonical) of every distinct value of `words.word`.
+    """(word, canonical) of every distinct value of `words.word`; canonical is null where no script can write the word.
 
-    Words whose mapped values are equal under the accent-sensitive Unicode collation are a class;
-    canonical is the plain form to which most of its words lead, one of a single script first, of
-    equals the least in code points. Classes are combined before the shuffle."""
+    Words of one script whose mapped values are equal under the accent-sensitive Unicode collation
+    are a class; canonical is the mapped value to which most of its words lead, of equals the least
+    in code points. Classes are combined before the shuffle."""
     formed = words.select("word").distinct().mapInArrow(_form, FORMED)
-    ranked = formed.groupBy(F.collate("looks", "UNICODE").alias("looks"), "form").agg(F.count("*").alias("n"))
-    chosen = ranked.groupBy("looks").agg(F.min_by("form", F.struct(F.col("form").rlike(mixed_scripts()), -F.col("n"), F.col("form"))).alias("canonical"))
-    return formed.withColumn("looks", F.collate("looks", "UNICODE")).join(chosen, "looks").select("word", "canonical")
+    key = ["script", "looks"]
+    ranked = formed.groupBy("script", F.collate("looks", "UNICODE").alias("looks"), "form").agg(F.count("*").alias("n"))
+    chosen = ranked.groupBy(*key).agg(F.min_by("form", F.when(F.col("form").isNotNull(), F.struct(-F.col("n"), F.col("form")))).alias("canonical"))
+    return formed.withColumn("looks", F.collate("looks", "UNICODE")).join(chosen, key).select("word", "canonical")
 
 
 SUSPECT = T.StructType([T.StructField("table_name", T.StringType()), T.StructField("rec_id", T.LongType()), T.StructField("source", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("suspects", T.ArrayType(T.StringType()))])
 
 
 def suspect_records(rows: DataFrame, words: Column) -> DataFrame:
-    """(table_name, rec_id, source, words, suspects) of the records with a suspect word or space.
+    """(table_name, rec_id, source, words, suspects) of the records with a word or space that mapping changes.
 
-    `words` are the text's runs between plain white space that leave ASCII. Each batch judges its
+    `words` are the text's runs between plain white space that leave ASCII. Each batch maps its
     different ones once. No shuffle; null and plain texts have no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,32 +227,39 @@ def suspect_records(rows: DataFrame, words: Column) -> DataFrame:
             lists = batch.column(3)
             offsets, encoded = lists.offsets.to_numpy(), lists.values.dictionary_encode()
             distinct = encoded.dictionary.to_pylist()
-            telling = np.array([bool(suspects_in(w)) for w in distinct], bool)
+            telling = np.array([bool(changed_in(w)) for w in distinct], bool)
             marked = telling[encoded.indices.to_numpy()] if distinct else np.zeros(0, bool)
             before = np.concatenate(([0], np.cumsum(marked)))
             some = np.flatnonzero(before[offsets[1:]] > before[offsets[:-1]])
             if len(some):
                 part = batch.take(pa.array(some))
-                suspects = [list(dict.fromkeys(s for w in ws for s in suspects_in(w))) for ws in part.column(3).to_pylist()]
+                suspects = [list(dict.fromkeys(s for w in ws for s in changed_in(w))) for ws in part.column(3).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array(suspects, pa.list_(pa.string()))], SUSPECT.names)
 
     return rows.select("table_name", "rec_id", "source", words.alias("words")).mapInArrow(run, SUSPECT)
 
 
+@F.pandas_udf(T.BooleanType())
+def _suspect(words: pd.Series) -> pd.Series:
+    return words.map(is_suspect)
+
+
 def occurrences(suspects: DataFrame) -> DataFrame:
-    """(table_name, rec_id, word, canonical): each suspect word of each record with its canonical form.
+    """(table_name, rec_id, word, canonical): each word of each record that is not its class's canonical member.
 
-    Only suspect words are shuffled. A word that cannot be brought into one script stands for
-    itself and is still a row. Repeated records count once."""
+    Only words that mapping changes are shuffled. The exact check of the definition follows, once a
+    different word. A word that cannot be brought into one script has a null canonical and is
+    still a row. Repeated records count once."""
     found = suspects.select("table_name", "rec_id", F.explode("suspects").alias("word")).distinct()
-    return found.join(canonical_words(found), "word").select("table_name", "rec_id", "word", "canonical")
+    other = canonical_words(found).where(~F.col("word").eqNullSafe(F.col("canonical"))).where(_suspect("word"))
+    return found.join(other, "word").select("table_name", "rec_id", "word", "canonical")
 
 
 UNIFIED = T.StructType([T.StructField("table_name", T.StringType()), T.StructField("rec_id", T.LongType()), T.StructField("unified", T.StringType())])
 
 
 def unified(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """(table_name, rec_id, unified): the texts of the records in `found` with every suspect word canonical."""
+    """(table_name, rec_id, unified): the texts of the records in `found` with every such word canonical; those without a canonical member stay."""
     import re
 
     per_record = found.groupBy("table_name", "rec_id").agg(F.collect_list(F.struct("word", "canonical")).alias("words"))
@@ -212,9 +269,9 @@ def unified(rows: DataFrame, found: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for text, words in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                forms = {w["word"]: w["canonical"] for w in words}
+                forms = {w["word"]: w["canonical"] for w in words if w["canonical"] is not None}
                 longest_first = sorted(forms, key=lambda w: (-len(w), w))
-                out.append(re.sub("|".join(map(re.escape, longest_first)), lambda m: forms[m.group()], text))
+                out.append(re.sub("|".join(map(re.escape, longest_first)), lambda m: forms[m.group()], text) if forms else text)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], UNIFIED.names)
 
     return joined.mapInArrow(run, UNIFIED)

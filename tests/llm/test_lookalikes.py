@@ -1,7 +1,7 @@
 import re
 import unicodedata as U
 
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -32,8 +32,10 @@ def test_suspects_are_those_of_the_definition(text):
     assert bool(L.suspects_in(text)) == brute(text)
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=600, deadline=None, derandomize=True)
 @given(st.text(alphabet=SIGNS, max_size=12))
+@example("bνая")
+@example("aνе́")
 def test_plain_forms_are_stable(word):
     form = L.plain_form(word)
     assert L.plain_form(form) == form and U.normalize("NFC", form) == form
@@ -72,3 +74,23 @@ def test_one_member_stands_for_a_class(spark):
 
 def test_empty(spark):
     assert found(spark, [])[1].count() == 0
+
+
+@settings(max_examples=300, deadline=None, derandomize=True)
+@given(st.text(alphabet=SIGNS, max_size=12))
+def test_words_of_one_script_keep_it(word):
+    own = {s for c in U.normalize("NFKC", word) if (s := script(c))}
+    if len(own) < 2:
+        assert {s for c in L.plain_form(word) if (s := script(c))} <= own
+
+
+def test_classes_do_not_cross_scripts(spark):
+    words = ["со\u00adр", "co\u00adp", "ρ\u00adον", "сoр", "µ\u00adm", "x²\u00ad", "аbж", "ё\u00ad", "êо"]
+    got = {r.word: r.canonical for r in L.canonical_words(spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+    assert got["со\u00adр"] == "сор" and got["co\u00adp"] == "cop" and got["ρ\u00adον"] == "ρον" and got["сoр"] == "сор"
+    assert got["µ\u00adm"] == "µm" and got["x²\u00ad"] == "x²" and got["аbж"] is None and got["ё\u00ad"] == "ё" and got["êо"] == "êo"
+
+
+def test_a_canonical_member_is_no_case(spark):
+    r, occurrences = found(spark, [(1, "é ж сор"), (2, "сoр"), (3, "со\u00adр")])
+    assert {(x.rec_id, x.canonical) for x in occurrences.collect()} == {(2, "сор"), (3, "сор")}
