@@ -167,20 +167,21 @@ def in_script(word: str, script: str) -> str | None:
     return None if None in signs else unicodedata.normalize("NFC", "".join(signs))
 
 
-def resolved(word: str) -> tuple[str, str, str | None]:
+def resolved(word: str, around: str | None = None) -> tuple[str, str, str | None]:
     """(script, what the word looks like, its mapped value).
 
     A word of one script, or of none of the three, is mapped within it. Of the scripts that can
-    write a mixed word whole, the one that most of its letters have is taken, Latin, then Cyrillic,
-    before the others; where none can, the script is `mixed` and the mapped value null."""
+    write a mixed word whole, that of the text `around` is taken, else the one that most of its
+    letters have, of equals Latin, then Cyrillic; where none can, the script is `mixed` and the
+    mapped value null."""
     word = _visible(word)
     counts = Counter(s for c in word if (s := _script(c)))
     if len(counts) < 2:
         return next(iter(counts), ""), word, word
-    options = [(-counts[s], k, s, form) for k, s in enumerate(SCRIPTS) if (form := in_script(word, s)) is not None]
+    options = [(s != around, -counts[s], k, s, form) for k, s in enumerate(SCRIPTS) if (form := in_script(word, s)) is not None]
     if not options:
         return "mixed", word, None
-    _, _, script, form = min(options)
+    *_, script, form = min(options)
     return script, form, form
 
 
@@ -190,34 +191,44 @@ def plain_form(word: str) -> str:
     return looks if form is None else form
 
 
-FORMED = T.StructType([T.StructField(n, T.StringType()) for n in ("word", "script", "looks", "form")])
+def script_around(words: list[str]) -> str:
+    """The script of most letters in a text's words outside ASCII that are of one script; Latin where there are none."""
+    counts: Counter = Counter()
+    for word in words:
+        own = Counter(s for c in word if (s := _script(c)))
+        if len(own) == 1:
+            counts.update(own)
+    return max(SCRIPTS, key=lambda s: counts[s])
+
+
+FORMED = T.StructType([T.StructField(n, T.StringType()) for n in ("word", "around", "script", "looks", "form")])
 
 
 def _form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words = batch.column(0).to_pylist()
-        columns = [words, *zip(*map(resolved, words))] if words else [[]] * 4
+        words, around = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        columns = [words, around, *zip(*map(resolved, words, around))] if words else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], FORMED.names)
 
 
 def canonical_words(words: DataFrame) -> DataFrame:
-    """(word, canonical) of every distinct value of `words.word`; canonical is null where no script can write the word.
+    """(word, around, canonical) of every distinct row of `words`, a word and the script around it; canonical is null where no script can write the word.
 
     Words of one script whose mapped values are equal under the accent-sensitive Unicode collation
     are a class; canonical is the mapped value to which most of its words lead, of equals the least
     in code points. Classes are combined before the shuffle."""
-    formed = words.select("word").distinct().mapInArrow(_form, FORMED)
+    formed = words.select("word", "around").distinct().mapInArrow(_form, FORMED)
     key = ["script", "looks"]
     ranked = formed.groupBy("script", F.collate("looks", "UNICODE").alias("looks"), "form").agg(F.count("*").alias("n"))
     chosen = ranked.groupBy(*key).agg(F.min_by("form", F.when(F.col("form").isNotNull(), F.struct(-F.col("n"), F.col("form")))).alias("canonical"))
-    return formed.withColumn("looks", F.collate("looks", "UNICODE")).join(chosen, key).select("word", "canonical")
+    return formed.withColumn("looks", F.collate("looks", "UNICODE")).join(chosen, key).select("word", "around", "canonical")
 
 
-SUSPECT = T.StructType([T.StructField("table_name", T.StringType()), T.StructField("rec_id", T.LongType()), T.StructField("source", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("suspects", T.ArrayType(T.StringType()))])
+SUSPECT = T.StructType([T.StructField("table_name", T.StringType()), T.StructField("rec_id", T.LongType()), T.StructField("source", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("suspects", T.ArrayType(T.StringType())), T.StructField("around", T.StringType())])
 
 
 def suspect_records(rows: DataFrame, words: Column) -> DataFrame:
-    """(table_name, rec_id, source, words, suspects) of the records with a word or space that mapping changes.
+    """(table_name, rec_id, source, words, suspects, around) of the records with a word or space that mapping changes.
 
     `words` are the text's runs between plain white space that leave ASCII. Each batch maps its
     different ones once. No shuffle; null and plain texts have no row."""
@@ -233,8 +244,9 @@ def suspect_records(rows: DataFrame, words: Column) -> DataFrame:
             some = np.flatnonzero(before[offsets[1:]] > before[offsets[:-1]])
             if len(some):
                 part = batch.take(pa.array(some))
-                suspects = [list(dict.fromkeys(s for w in ws for s in changed_in(w))) for ws in part.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array(suspects, pa.list_(pa.string()))], SUSPECT.names)
+                own = part.column(3).to_pylist()
+                suspects = [list(dict.fromkeys(s for w in ws for s in changed_in(w))) for ws in own]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array(suspects, pa.list_(pa.string())), pa.array(map(script_around, own), pa.string())], SUSPECT.names)
 
     return rows.select("table_name", "rec_id", "source", words.alias("words")).mapInArrow(run, SUSPECT)
 
@@ -250,9 +262,9 @@ def occurrences(suspects: DataFrame) -> DataFrame:
     Only words that mapping changes are shuffled. The exact check of the definition follows, once a
     different word. A word that cannot be brought into one script has a null canonical and is
     still a row. Repeated records count once."""
-    found = suspects.select("table_name", "rec_id", F.explode("suspects").alias("word")).distinct()
+    found = suspects.select("table_name", "rec_id", "around", F.explode("suspects").alias("word")).distinct()
     other = canonical_words(found).where(~F.col("word").eqNullSafe(F.col("canonical"))).where(_suspect("word"))
-    return found.join(other, "word").select("table_name", "rec_id", "word", "canonical")
+    return found.join(other, ["word", "around"]).select("table_name", "rec_id", "word", "canonical")
 
 
 UNIFIED = T.StructType([T.StructField("table_name", T.StringType()), T.StructField("rec_id", T.LongType()), T.StructField("unified", T.StringType())])

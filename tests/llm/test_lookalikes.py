@@ -68,7 +68,7 @@ def test_records_and_unified_texts(spark):
 
 def test_one_member_stands_for_a_class(spark):
     words = spark.createDataFrame([("wеb",), ("web​",), ("ｗｅｂ",), ("wéb​",), ("wéb",)], "word string")
-    got = {r.word: r.canonical for r in L.canonical_words(words).collect()}
+    got = {r.word: r.canonical for r in L.canonical_words(words.withColumn("around", F.lit("LATIN"))).collect()}
     assert {got[w] for w in ("wеb", "web​", "ｗｅｂ")} == {"web"} and {got["wéb​"], got["wéb"]} == {"wéb"}
 
 
@@ -86,11 +86,17 @@ def test_words_of_one_script_keep_it(word):
 
 def test_classes_do_not_cross_scripts(spark):
     words = ["со\u00adр", "co\u00adp", "ρ\u00adον", "сoр", "µ\u00adm", "x²\u00ad", "аbж", "ё\u00ad", "êо"]
-    got = {r.word: r.canonical for r in L.canonical_words(spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+    got = {r.word: r.canonical for r in L.canonical_words(spark.createDataFrame([(w, None) for w in words], "word string, around string")).collect()}
     assert got["со\u00adр"] == "сор" and got["co\u00adp"] == "cop" and got["ρ\u00adον"] == "ρον" and got["сoр"] == "сор"
     assert got["µ\u00adm"] == "µm" and got["x²\u00ad"] == "x²" and got["аbж"] is None and got["ё\u00ad"] == "ё" and got["êо"] == "êo"
 
 
 def test_a_canonical_member_is_no_case(spark):
-    r, occurrences = found(spark, [(1, "é ж сор"), (2, "сoр"), (3, "со\u00adр")])
+    r, occurrences = found(spark, [(1, "é ж сор"), (2, "ж сoр"), (3, "со\u00adр")])
     assert {(x.rec_id, x.canonical) for x in occurrences.collect()} == {(2, "сор"), (3, "сор")}
+
+
+def test_the_text_around_decides_short_words(spark):
+    texts = {1: "Schäd für νοn", 2: "λάβά για νoη", 3: "not νοn", 4: "ёж сoр"}
+    r, occurrences = found(spark, list(texts.items()))
+    assert {x.rec_id: x.canonical for x in occurrences.collect()} == {1: "von", 2: "νοη", 3: "von", 4: "сор"}
