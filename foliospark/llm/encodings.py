@@ -1,49 +1,65 @@
 """Text read with another character encoding than it was written in.
 
-Each (reader, writer) pair of code pages is a substitution cipher over the bytes of a text, UTF-8
-one whose symbols are runs of bytes. Nothing says which ciphers a source has met, so they are
-learned: expectation takes, for every word with a letter outside ASCII, the cipher under which the
-language's letter bigrams make it most likely; maximisation counts the bigrams of the words so
-read and each source's share of each cipher. What a symbol stands for is not learned but given by
-the code pages; the symbols met are counted, and applied with translate(). All words of all records count; what the driver holds
-are bigrams, shares and symbol tables, whose size the alphabets bound.
+An unknown swap of code pages is a substitution cipher over the bytes of a text, one sign for one;
+UTF-8 read as a code page is one whose symbols are runs of signs. Which ciphers a source has met,
+and what their signs stand for, is learned by expectation-maximisation against letter bigrams.
+Expectation weighs, for every word with a letter outside ASCII, its readings under all ciphers known
+by their code pages, and the word as it stands, by how likely the bigrams make them. Maximisation
+counts the bigrams, the common words and each source's share of each cipher by these weights. Then
+the letter that each sign stands for is estimated source by source: of words that no known cipher
+reads, from nothing but their sign pairs and the bigrams of each script; of the words of a known
+cipher, from its code page on. What was learned is applied with translate().
+
+Thresholds are nats, shares within a source or within a script: neither rows of other sources nor a
+larger corpus of the same kind change what is believed. All words of all records count. The driver
+holds bigrams, common words, shares and accepted tables; rows of pairs never leave the executors.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from math import log
+from functools import cache
+from math import exp, log
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.lookalikes import plain_form
+from foliospark.llm.lookalikes import SCRIPTS, plain_form
 from foliospark.session import cut
 
 READERS = ("cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "cp1253", "iso8859-7", "cp437", "cp850", "mac_roman")
 WRITERS = ("cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "cp1253", "iso8859-7", "mac_roman", "cp437", "cp850", "latin-1")
+#: Code pages whose letters a run of UTF-8 may stand for, and from which unknown ciphers are first guessed.
+OTHERS = ("cp1254", "cp1255", "cp1256", "cp1257", "cp1258", "cp852", "cp855", "iso8859-3", "iso8859-4", "iso8859-5", "iso8859-6", "iso8859-8", "iso8859-9", "iso8859-10", "iso8859-13", "iso8859-14", "iso8859-15", "iso8859-16", "koi8-u", "mac_cyrillic", "mac_greek", "mac_latin2")
 #: Latin-1 has nothing but control signs where it differs from cp1252, so nobody has written them.
 SAME = {("cp1252", "latin-1")}
 ROUNDS = 3
-#: What a word must gain, in nats, before a cipher nobody has met is believed; a learned share lowers it.
-DOUBT = 6.0
+#: What the different words of a record must gain together, in nats, before a cipher is believed, and what
+#: a cipher is spared whose share of its source's words is over MET: its logarithm over MET, RELIEF at most.
+DOUBT, MET, RELIEF = 9.5, 1e-4, 3.5
+#: How much less a single word is doubted while learning.
+LENIENT = 3.5
 #: What one word at least must gain, and what a run of UTF-8 may lose, to be believed.
 ALONE, RUN_LOSS = 3.5, -4.0
 #: Nats a sign above which a word is as it should be.
 LIKELY = -3.0
-#: The share of all signs from which on a letter is in use.
-IN_USE = 1e-5
-#: A one-sign cipher is believed of a source with so many different words that gain SURE each, if they
-#: are this share of its own words; and of every source once such words are this share of all words.
-EVIDENCE, SURE, COMMON = 3, 10.0, 4e-5
+#: A word is common that makes up this share of its script's words outside ASCII, and stands so often; at most 1 / COMMON a script.
+COMMON, OFTEN = 2e-4, 10
+#: Bigrams rarer than this share of their first sign's are left to the smoothing, which is PRIOR signs and SMOOTH of a sign's own.
+RARE, PRIOR, SMOOTH = 1e-5, 20.0, 1e-3
+#: Nats that a letter of a table costs, and that a table of a source must gain over the cost of its letters;
+#: with fewer sign pairs than these, no table could gain so much.
+LETTER, EVIDENCE, ENOUGH = 8.0, 100.0, 300.0
 LOST = "�"
 #: Signs that the look-alike operator deals with; a cipher that changes nothing else explains nothing.
-NEUTRAL = frozenset(" ­")
+NEUTRAL = frozenset("\u00a0\u00ad")
 #: A word: a run between plain white space that has a code point outside ASCII, found in one pass.
 WORD = r"(?<![^ \t\n\r\f])[\x00-\x08\x0B\x0E-\x1F\x21-\x7F]*+[^\x00-\x7F][^ \t\n\r\f]*+"
 KNOWN = 300_000
@@ -90,6 +106,18 @@ class SingleByte:
                 yield sign, self.table[ord(sign)]
 
 
+class Learned(SingleByte):
+    """A cipher of one source whose letters were learned: sign to letter."""
+
+    def __init__(self, name: str, letters: dict[str, str]):
+        self.name, self.multi, self.letters = name, False, letters
+        self.table = {ord(k): v for k, v in letters.items()}
+        self.changing = frozenset(k for k, v in letters.items() if k != v)
+
+    def may_have_made(self, signs: frozenset[str]) -> bool:
+        return not self.changing.isdisjoint(signs)
+
+
 class MultiByte:
     """UTF-8 read as a code page, `times` times over: a run of two to four signs for one."""
 
@@ -133,12 +161,42 @@ class MultiByte:
 
 _ciphers: list = []
 _latin, _other = re.compile("[A-Za-zÀ-ɏ]"), re.compile("[Ͱ-ӿ]")
+_edges = re.compile(r"^\W+|\W+$")
 
 
 def _two_scripts(word: str) -> bool:
     return bool(_latin.search(word) and _other.search(word))
 
 
+@cache
+def script_of(sign: str) -> str:
+    """The script of a letter, by its name; of anything else none."""
+    return unicodedata.name(sign, "").split(" ")[0] if sign.isalpha() else ""
+
+
+@cache
+def written_signs() -> frozenset[str]:
+    """The signs of all code pages, control signs aside: what a run of two signs may stand for."""
+    return frozenset(c for page in (*READERS, *OTHERS) for c in code_page(page)[128:] if unicodedata.category(c)[0] != "C")
+
+
+def folded(word: str) -> str:
+    """Lower case for a word in capitals: these are likely as their small letters are."""
+    return word.lower() if len(word) > 1 and word.isupper() else word
+
+
+def core_of(word: str) -> str:
+    return _edges.sub("", word).lower()
+
+
+def malformed(word: str) -> bool:
+    """No language writes so: a capital after a small letter, or a sign that is no letter, digit or punctuation between letters."""
+    for a, b, c in zip(word, word[1:], word[2:] + " "):
+        if (a.islower() and b.isupper()) or (a.isalpha() and c.isalpha() and b > "\x7f" and not b.isalnum() and unicodedata.category(b)[0] != "P"):
+            return True
+    return False
+
+
 def ciphers() -> list:
     """All ciphers considered: UTF-8 as each reader, twice over too, and every pair of code pages."""
     if not _ciphers:
@@ -147,45 +205,68 @@ def ciphers() -> list:
 
 
 class Model:
-    """Letter bigrams, each source's share of each cipher, the letters of its symbols.
+    """Letter bigrams, common words, each source's share of each cipher, and the tables that were learned.
 
-    `evidence` counts each source's different words that are sure of a cipher, and at "\\n" all its words;
-    without it, as while learning, every cipher is considered of every source."""
+    `tables` has, by (source, cipher), the letters in which a known cipher differs from its code page;
+    `learned` the unknown ciphers of a source."""
 
-    def __init__(self, bigrams: dict[tuple[str, str], float], shares: dict[tuple[str, str], float], tables: dict[tuple[str, str], dict[str, str]], evidence: dict[tuple[str, str], float] | None = None):
-        self.bigrams, self.shares, self.tables = bigrams, shares, tables
-        firsts, seconds = Counter(), Counter()
+    def __init__(self, bigrams: dict[tuple[str, str], float], shares: dict[tuple[str | None, str], float] | None = None, words: dict[str, float] | None = None, tables: dict[tuple[str | None, str], dict[str, str]] | None = None, learned: dict[str | None, Learned] | None = None):
+        self.bigrams, self.shares, self.words, self.tables, self.learned = bigrams, shares or {}, words or {}, tables or {}, learned or {}
+        self.first_round = shares is None
+        firsts, seconds, opening = Counter(), Counter(), Counter()
         for (x, y), n in bigrams.items():
             firsts[x] += n
             seconds[y] += n
+            if x == "\n" and script_of(y) in SCRIPTS:
+                opening[script_of(y)] += n
         total = sum(firsts.values()) + 5000.0
         self.base = {y: (n + 0.05) / total for y, n in seconds.items()}
         self.rare, self.firsts = 0.05 / total, dict(firsts)
-        self.logs = {(x, y): log((n + 20 * self.base[y]) / (firsts[x] + 20)) for (x, y), n in bigrams.items()}
-        self.total_share: dict[str, float] = defaultdict(float)
-        for (_, name), n in shares.items():
-            self.total_share[name] += n
-        self.anywhere = {c.name for c in ciphers() if c.multi or evidence is None or self.total_share.get(c.name, 0) >= COMMON * max(self.firsts.get("\n", 0), 1)}
-        self.proven = {(s, c) for (s, c), n in (evidence or {}).items() if c != "\n" and n >= max(EVIDENCE, COMMON * evidence[s, "\n"])}
-        somewhere = self.anywhere | {name for _, name in self.proven}
-        self.live = [c for c in ciphers() if c.name in somewhere]
-        self.runs = [c for c in self.live if c.multi]
+        self.weight = {x: PRIOR + SMOOTH * n for x, n in firsts.items()}
+        # a word's first letter is weighed within its script, so that no script is likelier for being had more often
+        even = sum(opening.values()) / max(len(opening), 1)
+        self.logs = {}
+        for (x, y), n in bigrams.items():
+            if x == "\n" and script_of(y) in opening:
+                n *= even / opening[script_of(y)]
+            self.logs[x, y] = log((n + self.weight[x] * self.base[y]) / (firsts[x] + self.weight[x]))
+        self.runs = [c for c in ciphers() if c.multi]
+        self.by_name = {c.name: c for c in ciphers()}
         self.known: dict[str, tuple] = {}
         self._dense: _Dense | None = None
         self.hints: dict[str, list] = {}
+        self.languages: dict[str, _Language] = {}
+
+    def language(self, script: str) -> _Language:
+        """The letter pairs of a script."""
+        if script not in self.languages:
+            self.languages[script] = _Language(self, script)
+        return self.languages[script]
+
+    def pair(self, x: str, y: str) -> float:
+        value = self.logs.get((x, y))
+        if value is None:
+            weight = self.weight.get(x, PRIOR)
+            value = log(weight * self.base.get(y, self.rare) / (self.firsts.get(x, 0) + weight))
+        return value
 
     def likelihood(self, word: str, least: float = -1e300) -> float:
         """Nats of a word by its bigrams; once under `least`, it is not followed to its end."""
-        logs, total, before = self.logs, 0.0, "\n"
-        for sign in word + "\n":
+        total, before, pair = 0.0, "\n", self.pair
+        for sign in folded(word) + "\n":
             if total < least:
                 return total
-            value = logs.get((before, sign))
-            if value is None:
-                value = log(20 * self.base.get(sign, self.rare) / (self.firsts.get(before, 0) + 20))
-            total, before = total + value, sign
+            total, before = total + pair(before, sign), sign
         return total
 
+    def standing(self, word: str) -> float:
+        """Nats of a word as it stands: by its bigrams, as a common word, or as look-alikes have disguised it."""
+        value = self.likelihood(word)
+        core = core_of(word)
+        if (share := self.words.get(core)) is not None:
+            value = max(value, log(share) - 1.0 - 1.5 * (len(word) - len(core)))
+        return max(value, self.likelihood(plain)) if (plain := plain_form(word)) != word else value
+
     def prepare(self, words: list[str]) -> None:
         """Finds, for many words at once, the one-sign ciphers worth a closer look; `readings` then
         follows only those. Words with a sign outside the table are left to `readings` as they are."""
@@ -199,48 +280,63 @@ class Model:
         self.hints.update(self._dense.candidates(words))
 
     def readings(self, word: str) -> tuple[tuple[str, float, str, bool], ...]:
-        """(cipher, gain, as written, multi-byte) of each cipher that may have made the word."""
+        """(cipher, gain, as written, multi-byte) of each cipher that may have made the word. Letters stay letters."""
         found = self.known.get(word)
         if found is None:
-            plain, found, seen, signs = self.likelihood(word), [], {word}, _signs(word)
-            unlikely = plain < LIKELY * (len(word) + 1) or not self.shares
+            plain, found, seen, signs = self.standing(word), [], {word}, _signs(word)
+            unlikely = plain < LIKELY * (len(word) + 1) or self.first_round
+            letters = sum(map(str.isalpha, word))
             hint = self.hints.get(word)
-            for cipher in self.live if hint is None else [*self.runs, *hint]:
+            for cipher in ciphers() if hint is None else [*self.runs, *hint]:
                 if (cipher.multi or unlikely) and cipher.may_have_made(signs) and (read := cipher.undo(word)) is not None and read not in seen:
                     seen.add(read)
-                    if not self.believable(cipher, word) if cipher.multi else _two_scripts(read):
+                    if not self.believable(cipher, word) if cipher.multi else _two_scripts(read) or sum(map(str.isalpha, read)) < letters:
                         continue
                     gain = self.likelihood(read, plain + RUN_LOSS) - plain
-                    if gain > RUN_LOSS:
+                    if gain > RUN_LOSS and (cipher.multi or not malformed(read)):
                         found.append((cipher.name, gain, read, cipher.multi))
             if len(self.known) >= KNOWN:
                 self.known.clear()
             found = self.known[word] = tuple(found)
         return found
 
+    def own_readings(self, source: str | None, word: str) -> tuple[tuple[str, float, str, bool], ...]:
+        """The readings of a word of a source: also by the cipher that was learned of it."""
+        found, cipher = self.readings(word), self.learned.get(source)
+        if cipher is not None and (read := cipher.undo(word)) is not None:
+            if (gain := self.likelihood(read) - self.standing(word)) > RUN_LOSS:
+                found = (*found, (cipher.name, gain, read, False))
+        return found
+
     def believable(self, cipher: MultiByte, word: str) -> bool:
-        """Some run of the word stands for a letter in use, or begins with a sign that no letter is.
+        """Some run of the word stands for a sign that a code page has, or begins with a sign that no letter is, or three signs or more leave none over.
 
         A word of one script that would become one of two is none."""
         if not _two_scripts(word) and _two_scripts(cipher.undo(word) or ""):
             return False
-        return any(not symbol[0].isalpha() or self.base.get(letter, 0.0) >= IN_USE for symbol, letter in cipher.symbols(word))
-
-    def believed(self, source: str | None, name: str) -> bool:
-        """Whether texts of the source may have met the cipher."""
-        return name in self.anywhere or (source, name) in self.proven
-
-    def best(self, word: str, source: str | None = None) -> tuple[str, float, str, bool] | None:
-        """The reading that beats the word as it stands."""
-        found = [r for r in self.readings(word) if self.believed(source, r[0]) and r[1] > self.doubt(source, r)]
-        return max(found, key=lambda r: r[1]) if found else None
-
-    def doubt(self, source: str | None, reading: tuple) -> float:
-        """What a reading must gain: nothing for a valid UTF-8 run, less where the source has met the cipher."""
-        if reading[3]:
-            return RUN_LOSS
-        met = self.shares.get((source, reading[0]), 0.0) + self.total_share.get(reading[0], 0.0) / 10
-        return DOUBT - min(3.0, log(1 + met) / 2)
+        symbols = list(cipher.symbols(word))
+        if any(letter in written_signs() for _, letter in symbols):
+            return True
+        over = sum(c > "\x7f" for c in word) - sum(len(symbol) for symbol, _ in symbols)
+        return not over and any(not symbol[0].isalpha() or len(symbol) > 2 for symbol, _ in symbols) or cipher.times > 1
+
+    def doubt(self, source: str | None, name: str) -> float:
+        """What a record's words must gain by a one-sign cipher: less where the source has met it often."""
+        if name not in self.by_name:
+            return DOUBT - RELIEF  # what was learned of the source itself
+        share = self.shares.get((source, name), 0.0)
+        return DOUBT - min(RELIEF, log(share / MET)) if share > MET else DOUBT
+
+    def weights(self, source: str | None, word: str) -> list[tuple[tuple, float]]:
+        """(reading, probability) of a word's readings; what is left to one is that of the word as it stands.
+
+        A word alone is doubted less than a record is, or what it is read from would stay among the bigrams."""
+        found = [(r, r[1] - RUN_LOSS if r[3] else r[1] - self.doubt(source, r[0]) + LENIENT) for r in self.readings(word)]
+        if not found:
+            return []
+        top = max(0.0, *(v for _, v in found))
+        total = exp(-top) + sum(exp(v - top) for _, v in found)
+        return [(r, w) for r, v in found if (w := exp(v - top) / total) >= 0.01]
 
 
 class _Dense:
@@ -251,12 +347,16 @@ class _Dense:
         for (_, y), n in model.bigrams.items():
             counts[y] += n
         signs = ["\n", *(s for s, _ in counts.most_common(TABLE) if s != "\n")]
-        self.ciphers = [c for c in model.live if not c.multi]
+        self.ciphers = [c for c in ciphers() if not c.multi]
         signs += sorted({s for c in self.ciphers for s in (*c.reader, *c.table.values())} - set(signs))
+        signs += sorted({low for s in signs if len(low := s.lower()) == 1} - set(signs))
         self.index = {s: i for i, s in enumerate(signs)}
+        self.low = np.array([self.index[low] if len(low := s.lower()) == 1 else -1 for s in signs])
+        self.upper, self.lower = np.array([s.isupper() for s in signs]), np.array([s.islower() or s.istitle() and not s.isupper() for s in signs])
         base = np.array([model.base.get(s, model.rare) for s in signs])
-        firsts = np.array([model.firsts.get(s, 0) + 20 for s in signs])
-        self.logs = np.log(20 * base)[None, :] - np.log(firsts)[:, None]
+        weight = np.array([model.weight.get(s, PRIOR) for s in signs])
+        firsts = np.array([model.firsts.get(s, 0) for s in signs]) + weight
+        self.logs = np.log(base)[None, :] + (np.log(weight) - np.log(firsts))[:, None]
         for (x, y), value in model.logs.items():
             if x in self.index and y in self.index:
                 self.logs[self.index[x], self.index[y]] = value
@@ -271,13 +371,20 @@ class _Dense:
 
     def candidates(self, words: list[str]) -> dict[str, list]:
         """The ciphers under which a word loses less than RUN_LOSS, for each word of the table's signs."""
-        whole = [w for w in words if all(s in self.index for s in w)]
+        whole = [w for w in words if all(s in self.index and len(s.lower()) == 1 for s in w)]
         found: dict[str, list] = {w: [] for w in whole}
         if not whole:
             return found
         at = np.array([self.index[s] for w in whole for s in "\n" + w] + [0])
         starts = np.cumsum([0, *(len(w) + 1 for w in whole)])[:-1]
-        total = lambda ids: np.add.reduceat(self.logs[ids[:-1], ids[1:]], starts)
+        lengths = np.diff(np.append(starts, len(at) - 1))
+
+        def total(ids):
+            capitals = np.logical_or.reduceat(self.upper[ids[:-1]], starts) & ~np.logical_or.reduceat(self.lower[ids[:-1]], starts) & (lengths > 2)
+            if capitals.any():
+                ids = np.where(np.append(np.repeat(capitals, lengths), False) & (self.low[ids] >= 0), self.low[ids], ids)
+            return np.add.reduceat(self.logs[ids[:-1], ids[1:]], starts)
+
         plain = total(at)
         for c, to, able, changes in zip(self.ciphers, self.maps, self.able, self.changes):
             possible = np.logical_and.reduceat(able[at[:-1]], starts) & np.logical_or.reduceat(changes[at[:-1]], starts)
@@ -303,63 +410,197 @@ def records(parts: list[tuple[str, DataFrame, str, str, str | None]]) -> DataFra
 
 
 EXPECTED = T.StructType([T.StructField("kind", T.StringType()), T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("c", T.StringType()), T.StructField("n", T.DoubleType())])
+#: Under this name stand the words that no known cipher reads.
+UNKNOWN = "?"
+
 
+def _expect(model: Model | None, last: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One expectation step over (source, word, n): expected bigrams, words, shares and, in the last, sign pairs of this partition.
 
-def _expect(model: Model | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One expectation step over (word, sources): counted bigrams, shares and symbols of this partition."""
-    bigrams, shares, symbols, evidence = Counter(), Counter(), Counter(), Counter()
-    by_name = {c.name: c for c in ciphers()}
+    Words that no language writes tell of no language's bigrams as they stand."""
+    counts: Counter = Counter()
     for batch in batches:
-        words = batch.column(0).to_pylist()
+        sources, words, numbers = (batch.column(i).to_pylist() for i in range(3))
         if model:
             model.prepare(words)
-        for word, sources in zip(words, batch.column(1).to_pylist()):
-            n = sum(s["n"] for s in sources)
-            best = model.best(word) if model else None
-            read = best[2] if best else word
-            framed = f"\n{read}\n"
-            for pair in zip(framed, framed[1:]):
-                bigrams[pair] += n
-            for s in sources:
-                evidence[s["source"], "\n"] += s["n"]
-            if best:
-                # letters of another script that look like the word's own tell of no cipher
-                alike = _two_scripts(word) and not _two_scripts(plain_form(word))
-                for s in sources:
-                    if best[1] >= SURE:
-                        shares[s["source"], best[0]] += s["n"]
-                        evidence[s["source"], best[0]] += not alike
-                    for symbol, letter in by_name[best[0]].symbols(word):
-                        symbols[s["source"], best[0], symbol + "\n" + letter] += s["n"]
-    rows = [("bigram", x, y, None, float(n)) for (x, y), n in bigrams.items()] + [("share", s, k, None, float(n)) for (s, k), n in shares.items()] + [("evidence", s, k, None, float(n)) for (s, k), n in evidence.items()] + [("symbol", s, k, v, float(n)) for (s, k, v), n in symbols.items()]
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [*[pa.string()] * 4, pa.float64()])], EXPECTED.names)
+        for source, word, n in zip(sources, words, numbers):
+            weights = model.weights(source, word) if model else []
+            stays = 1.0 - sum(w for _, w in weights)
+            odd = malformed(word)
+            for read, w in [(word, 0.0 if odd else stays), *((r[2], w) for r, w in weights)]:
+                if w >= 0.01:
+                    framed = f"\n{read}\n"
+                    for x, y in zip(framed, framed[1:]):
+                        counts["bigram", x, y, None] += n * w
+            if model is None:
+                continue
+            core = core_of(word)
+            scripts = {script_of(c) for c in core if c > "\x7f"}
+            if core.isalpha() and not odd and len(scripts) == 1 and (script := scripts.pop()) in SCRIPTS:
+                counts["word", script, core, None] += n * stays
+            counts["share", source, "\n", None] += n
+            for r, w in weights:
+                if not r[3]:
+                    counts["share", source, r[0], None] += n * w
+            if last:
+                groups = [(r[0], w) for r, w in weights if not r[3] and w > 0.5]
+                if not groups and odd and stays > 0.5 and LOST not in word:
+                    groups = [(UNKNOWN, stays)]
+                for name, w in groups:
+                    framed = f"\n{word}\n"
+                    for x, y in zip(framed, framed[1:]):
+                        counts["pair", source, name, x + y] += n * w
+    if counts:
+        yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in counts], pa.string()) for i in range(4)), pa.array([float(n) for n in counts.values()], pa.float64())], EXPECTED.names)
+
+
+class _Language:
+    """The letter pairs of one script, ASCII with it, as a matrix of probabilities."""
+
+    def __init__(self, model: Model, script: str):
+        letters = sorted(s for s in model.base if s > "\x7f" and s.isalpha() and script_of(s) == script)
+        self.signs = ["\n", *map(chr, range(33, 127)), *letters]
+        self.index = {s: i for i, s in enumerate(self.signs)}
+        self.free = np.arange(len(self.signs)) >= 95
+        pairs = np.zeros((len(self.signs),) * 2)
+        for (x, y), n in model.bigrams.items():
+            if x in self.index and y in self.index:
+                pairs[self.index[x], self.index[y]] += n
+        use = pairs.sum(0) + pairs.sum(1)
+        self.share = use / max(use.sum(), 1e-300)
+        self.pairs = pairs / max(pairs.sum(), 1e-300) * (1 - SMOOTH) + SMOOTH * np.outer(self.share, self.share)
+
+
+def _maximise(counts: np.ndarray, language: _Language, table: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
+    """(table, nats): EM over P(sign | letter), the letter pairs of the language given, the sign pairs observed."""
+    for _ in range(rounds):
+        ratio = counts / np.maximum(table.T @ language.pairs @ table, 1e-300)
+        table = table * (language.pairs @ table @ ratio.T + language.pairs.T @ table @ ratio)
+        table /= np.maximum(table.sum(1, keepdims=True), 1e-300)
+    return table, float((counts * np.log(np.maximum(table.T @ language.pairs @ table, 1e-300))).sum())
+
+
+def decipher(pairs: dict[tuple[str, str], float], model: Model, name: str = UNKNOWN) -> dict[str, str]:
+    """The letters that the signs of one source's cipher stand for, where that pays; else none.
+
+    A sign of ASCII stands for itself. For every script of the three, EM starts from the code page
+    that comes nearest and, eight times, from the order of frequencies with some chance; a known
+    cipher starts from its own page. The result must gain LETTER for each letter that it changes and,
+    for an unknown cipher, EVIDENCE over that and words as likely as words are."""
+    known, mass = model.by_name.get(name), sum(pairs.values())
+    if mass < ENOUGH:
+        return {}
+    signs = sorted({s for p in pairs for s in p})
+    index = {s: i for i, s in enumerate(signs)}
+    counts = np.zeros((len(signs),) * 2)
+    for (x, y), n in pairs.items():
+        counts[index[x], index[y]] += n
+    free = [i for i, s in enumerate(signs) if s > "\x7f"]
+    if not free or known is None and not any(mass * 0.95 <= sum(n for p, n in pairs.items() if all(s <= "\x7f" or s in code_page(r)[128:] for s in p)) for r in READERS):
+        return {}
+    use = counts.sum(0) + counts.sum(1)
+    best: tuple[float, dict[str, str]] = (0.0, {})
+    start = {signs[i]: known.table.get(ord(signs[i]), signs[i]) for i in free} if known else {s: s for s in signs}
+    nats = lambda to: sum(n * model.pair(to.get(x, x), to.get(y, y)) for (x, y), n in pairs.items())
+    plain = nats(start)
+    scripts = {script_of(v) for v in start.values()} & SCRIPTS.keys() if known else SCRIPTS
+    for script in sorted(scripts):
+        language = model.language(script)
+        letters = np.flatnonzero(language.free & (language.share > 0))
+        if not len(letters):
+            continue
+        fixed = np.zeros((len(language.signs), len(signs)))
+        for s, i in index.items():
+            if s in language.index and not (s > "\x7f"):
+                fixed[language.index[s], i] = 1.0
+
+        def seeded(to: dict[str, str], trust: float) -> np.ndarray:
+            table = fixed.copy()
+            table[np.ix_(letters, free)] = (1 - trust) / len(free)
+            for i in free:
+                if (k := language.index.get(to.get(signs[i], ""))) is not None:
+                    table[k, i] += trust
+            return table / np.maximum(table.sum(1, keepdims=True), 1e-300)
+
+        if known:
+            starts = [seeded(start, 0.9)]
+        else:
+            guesses = [dict(zip(code_page(r)[128:], code_page(w)[128:])) for r in READERS for w in (*WRITERS, *OTHERS) if r != w]
+            starts = [seeded(g, 0.9) for g in sorted(guesses, key=lambda g: -nats(g))[:1]]
+            order, by_use = letters[np.argsort(-language.share[letters], kind="stable")], sorted(free, key=lambda i: -use[i])
+            chance = np.random.default_rng(0)
+            for spread in (4.0, 4.0, 8.0, 8.0, 16.0, 16.0, 16.0, 16.0):
+                table, distance = fixed.copy(), np.abs(np.arange(len(order))[:, None] - np.arange(len(by_use))[None, :])
+                table[np.ix_(order, by_use)] = (np.exp(-distance / spread) + 1e-3) * chance.uniform(0.2, 1.8, distance.shape)
+                starts.append(table / np.maximum(table.sum(1, keepdims=True), 1e-300))
+        table = max((_maximise(counts, language, t, 12 if known else 60) for t in starts), key=lambda x: x[1])[0]
+        after = (table * language.share[:, None])[letters]
+        found = {signs[i]: language.signs[letters[int(after[:, i].argmax())]] for i in free if after[:, i].max() > 0 and (signs[i].isalpha() or not known)}
+        if known:
+            chosen = dict(start)
+            for sign, letter in found.items():
+                if letter != start[sign] and script_of(start[sign]) == script and letter not in chosen.values() and nats(chosen | {sign: letter}) - nats(chosen) > LETTER + EVIDENCE / 10:
+                    chosen[sign] = letter
+            start = chosen
+            continue
+        mapped = nats(found)
+        gain = mapped - plain - LETTER * sum(k != v for k, v in found.items())
+        if gain > max(EVIDENCE, best[0]) and mapped > LIKELY * mass:
+            best = (gain, found)
+    page = {signs[i]: known.table.get(ord(signs[i]), signs[i]) for i in free} if known else {}
+    return {k: v for k, v in start.items() if page[k] != v} if known else best[1]
+
+
+TABLE_ROW = "source string, cipher string, sign string, letter string"
+
+
+def learn_tables(pairs: DataFrame, model: Model) -> tuple[dict, dict]:
+    """(tables, learned) of the Model from rows (a: source, b: cipher, c: two signs, n): each source's ciphers in one task each.
+
+    A group holds at most the pairs of the signs of a code page or two."""
+    shared = pairs.sparkSession.sparkContext.broadcast(model)
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        source, name = pdf["a"].iloc[0], pdf["b"].iloc[0]
+        found = decipher({(c[0], c[1]): n for c, n in zip(pdf["c"], pdf["n"])}, shared.value, name)
+        return pd.DataFrame([(source, name, k, v) for k, v in found.items()], columns=["source", "cipher", "sign", "letter"], dtype=object)
+
+    tables: dict = defaultdict(dict)
+    for r in pairs.groupBy("a", "b").applyInPandas(each, TABLE_ROW).toLocalIterator():
+        tables[r.source, r.cipher][r.sign] = r.letter
+    shared.unpersist()
+    learned = {source: Learned("learned", letters) for (source, name), letters in tables.items() if name == UNKNOWN}
+    return {k: v for k, v in tables.items() if k[1] != UNKNOWN}, learned
 
 
 def learn(rows: DataFrame, rounds: int = ROUNDS) -> Model:
     """The model of `records`, from all their words."""
     spark = rows.sparkSession
     exploded = rows.select("source", F.explode(words_of(F.col("text"))).alias("word"))
-    counted = exploded.groupBy("source", "word").agg(F.count("*").alias("n"))
-    vocabulary = cut(counted.groupBy("word").agg(F.collect_list(F.struct("source", "n")).alias("sources")))
+    vocabulary = cut(exploded.groupBy("source", "word").agg(F.count("*").alias("n")).repartition("word"))
     model: Model | None = None
     for left in range(rounds, -1, -1):
         shared = spark.sparkContext.broadcast(model)
-        counted = vocabulary.mapInArrow(lambda batches, shared=shared: _expect(shared.value, batches), EXPECTED)
-        bigrams, shares, symbols, evidence = {}, {}, defaultdict(dict), {}
-        for r in counted.groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n")).collect():
+        counted = vocabulary.mapInArrow(lambda batches, shared=shared, last=not left: _expect(shared.value, last, batches), EXPECTED).groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n"))
+        counted = cut(counted)
+        # what is rare beside its first sign, script or source is left to smoothing or doubt, at every size alike
+        kept = counted.where("kind <> 'pair'").withColumn("k", F.coalesce("a", F.lit("\0")))
+        totals = kept.groupBy("kind", "k").agg(F.sum(F.when(~((F.col("kind") == "share") & (F.col("b") != "\n")), F.col("n"))).alias("whole"))
+        kept = kept.join(totals, ["kind", "k"]).withColumn("part", F.col("n") / F.col("whole"))
+        few = kept.where(F.when(F.col("kind") == "bigram", F.col("part") >= RARE).when(F.col("kind") == "word", (F.col("part") >= COMMON) & (F.col("n") >= OFTEN)).otherwise((F.col("part") > MET) & (F.col("b") != "\n")))
+        bigrams, shares, words = {}, {}, {}
+        totals = {r.a: r.n for r in counted.where("kind = 'share' AND b = '\n'").select("a", "n").toLocalIterator()} if model else {}
+        for r in few.select("kind", "a", "b", "n", "part").toLocalIterator():
             if r.kind == "bigram":
                 bigrams[r.a, r.b] = r.n
-            elif r.kind == "share":
-                shares[r.a, r.b] = r.n
-            elif r.kind == "evidence":
-                evidence[r.a, r.b] = r.n
+            elif r.kind == "word":
+                words[r.b] = r.part
             else:
-                symbol, letter = r.c.split("\n", 1)
-                if r.n > symbols[r.a, r.b].get(symbol, ("", 0.0))[1]:
-                    symbols[r.a, r.b][symbol] = (letter, r.n)
-        tables = {k: {s: letter for s, (letter, _) in v.items()} for k, v in symbols.items()}
-        model = Model(bigrams, shares, tables, None if left else evidence)
+                shares[r.a, r.b] = r.part
+        fitted = Model(bigrams, shares if model else None, words)
+        if model and not left:
+            fitted.tables, fitted.learned = learn_tables(counted.where("kind = 'pair'"), fitted)
+        model = fitted
         shared.unpersist()
     return model
 
@@ -371,28 +612,30 @@ def judge(model: Model, source: str | None, words: list[str]) -> dict[str, float
     """The ciphers a record's words show, with what they gain beyond doubt; LOST for signs that are gone.
 
     A valid UTF-8 run speaks for itself. A one-sign cipher needs a word that gains much alone, and
-    the sum over the record's different words must outweigh the doubt."""
+    the sum over the record's different words, case and punctuation aside, must outweigh the doubt."""
     found: dict[str, float] = {}
-    gains: dict[str, float] = defaultdict(float)
-    most: dict[str, float] = defaultdict(float)
-    doubts: dict[str, float] = {}
+    gains: dict[str, dict[str, float]] = defaultdict(dict)
     for word in set(words):
         if LOST in word:
             found[LOST] = found.get(LOST, 0.0) + 1
-        readings = [r for r in model.readings(word) if model.believed(source, r[0])]
+        readings = model.own_readings(source, word)
         best = max(readings, key=lambda r: r[1], default=None)
         if best and best[3] and best[1] > RUN_LOSS:
             found[best[0]] = found.get(best[0], 0.0) + best[1]
         elif len(word) > 1 and sum(map(str.isalpha, word)) != 1:
-            for reading in readings:
-                if not reading[3]:
-                    name, gain = reading[:2]
-                    gains[name] += max(gain, -3.0)
-                    most[name] = max(most[name], gain)
-                    doubts[name] = model.doubt(source, reading)
-    for name, gain in gains.items():
-        if gain > doubts[name] and most[name] > ALONE:
-            found[name] = gain - doubts[name]
+            core = core_of(word)
+            for name, gain, _, multi in readings:
+                if not multi:
+                    gains[name][core] = max(gains[name].get(core, -3.0), gain)
+    while gains:
+        # the cipher that explains most comes first; another must explain words that it does not
+        beyond = {name: sum(of.values()) - model.doubt(source, name) for name, of in gains.items() if of and max(of.values()) > ALONE}
+        name = max(sorted(beyond), key=beyond.get, default=None)
+        if name is None or beyond[name] <= 0:
+            break
+        found[name] = beyond[name]
+        explained = {core for core, gain in gains.pop(name).items() if gain > 0}
+        gains = {other: {core: gain for core, gain in of.items() if core not in explained} for other, of in gains.items()}
     return found
 
 
@@ -414,7 +657,8 @@ def garbled(rows: DataFrame, model: Model) -> DataFrame:
             telling = np.array([LOST in w or bool(model.readings(w)) for w in distinct], bool)
             marked = telling[encoded.indices.to_numpy()] if distinct else np.zeros(0, bool)
             before = np.concatenate(([0], np.cumsum(marked)))
-            some = np.flatnonzero(before[offsets[1:]] > before[offsets[:-1]])
+            own = np.array([s in model.learned for s in batch.column(2).to_pylist()], bool) if model.learned else False
+            some = np.flatnonzero((before[offsets[1:]] > before[offsets[:-1]]) | own)
             if not len(some):
                 continue
             part = batch.take(pa.array(some))
@@ -433,23 +677,22 @@ def restore_text(model: Model, source: str | None, text: str) -> tuple[str, list
     """(text as written, ciphers undone, signs that are lost)."""
     parts = _split.split(text)
     found = judge(model, source, [p for p in parts if p and not p.isascii()])
-    by_name = {c.name: c for c in model.live}
+    if not found:
+        return text, [], 0
+    by_name = model.by_name | ({c.name: c} if (c := model.learned.get(source)) else {})
+    # a one-sign cipher is a translate() table: the learned letters over the code page's
+    tables = {n: by_name[n].table | {ord(k): v for k, v in model.tables.get((source, n), {}).items()} for n in found.keys() - {LOST} if not by_name[n].multi}
     for i, part in enumerate(parts):
         if part.isascii():
             continue
-        options = [r[:2] for r in model.readings(part) if r[3] and r[0] in found]
-        plain = model.likelihood(part)
-        for name in found.keys() - {LOST}:
+        options = [(r[1], r[2]) for r in model.readings(part) if r[3] and r[0] in found]
+        plain = model.standing(part)
+        for name, letters in tables.items():
             # where a cipher is known to have been at work, a word need not be unlikely to be undone
-            if not by_name[name].multi and (read := by_name[name].undo(part)) is not None and not _two_scripts(read):
-                options.append((name, model.likelihood(read) - plain))
-        options = [o for o in options if o[1] > (RUN_LOSS if by_name[o[0]].multi else -1.0)]
+            if by_name[name].undo(part) is not None and not _two_scripts(read := part.translate(letters)) and (gain := model.likelihood(read) - plain) > -1.0:
+                options.append((gain, read))
         if options:
-            name = max(options, key=lambda o: o[1])[0]
-            cipher = by_name[name]
-            learned = model.tables.get((source, name), {})
-            # a one-sign cipher is a translate() table: the learned letters over the code page's
-            parts[i] = cipher.undo(part) if cipher.multi else part.translate(cipher.table | {ord(k): v for k, v in learned.items()})
+            parts[i] = max(options)[1]
     return "".join(parts), sorted(found.keys() - {LOST}), text.count(LOST)
 
 

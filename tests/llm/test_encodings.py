@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 
@@ -90,8 +91,7 @@ def test_ciphers_undo_what_they_did():
 def test_screening_finds_what_reading_finds(case):
     _, model, _ = case
     words = ["äðóøóì", "für", "МЮБНИЙН", "Szê¿o", "ïðè", "знание", "même", "世界é"]
-    plain = E.Model(model.bigrams, model.shares, model.tables)
-    screened = E.Model(model.bigrams, model.shares, model.tables)
+    plain, screened = (E.Model(model.bigrams, model.shares, model.words) for _ in range(2))
     screened.prepare(words)
     assert [plain.readings(w) for w in words] == [screened.readings(w) for w in words]
 
@@ -134,3 +134,62 @@ def test_utf8_twice_over_by_every_reader(reader):
 def test_quotes_of_cp1252_read_as_latin_1():
     cipher = next(c for c in E.ciphers() if c.name == "cp1252>latin-1")
     assert cipher.undo(read_as("“für”", "cp1252", "latin-1")) == "“für”"
+
+
+def unknown_case(spark, encode, tongue="ru", n=40, seed=3):
+    """Clean texts of all tongues in many sources, and one source with texts of an unknown cipher."""
+    rng = random.Random(seed)
+    text = lambda t, k: " ".join("".join(rng.choices(TONGUES[t], k=rng.randint(2, 4))) for _ in range(k))
+    rows = [(i, text(t, 30), f"s{i % 5}") for i, t in enumerate(list(TONGUES) * 80)]
+    truth = {5000 + i: text(tongue, 14) for i in range(n)}
+    rows += [(k, encode(t), "odd") for k, t in truth.items()]
+    records = E.records([("a", spark.createDataFrame(rows, "k long, t string, s string"), "k", "t", "s")])
+    model = E.learn(records)
+    found = {r.rec_id for r in E.garbled(records, model).collect()}
+    got = {r.rec_id: r.restored for r in E.restored(records, model).collect()}
+    right = sum(a == b for k, t in truth.items() for a, b in zip(got.get(k, "").split(), t.split())) / sum(len(t.split()) for t in truth.values())
+    return truth, found, right, model
+
+
+def test_a_code_page_of_no_list_is_learned(spark):
+    truth, found, right, model = unknown_case(spark, lambda t: read_as(t, "iso8859-5", "cp1252"))
+    assert len(truth.keys() & found) >= 0.9 * len(truth) and len(found - truth.keys()) <= 2 and right >= 0.9, (len(truth.keys() & found), found - truth.keys(), right)
+    assert "odd" in model.learned
+
+
+@pytest.mark.parametrize("tongue", ["el"])  # of the made-up Russian some syllables cannot be told apart
+def test_any_permutation_is_learned(spark, tongue):
+    letters = sorted({c for s in TONGUES[tongue] for c in s if c > "\x7f"})
+    signs = [c for c in E.code_page("cp1252")[0xC0:] if c.isalpha()]
+    random.Random(8).shuffle(signs)
+    truth, found, right, _ = unknown_case(spark, lambda t: t.translate(dict(zip(map(ord, letters), signs))), tongue)
+    assert len(truth.keys() & found) >= 0.9 * len(truth) and len(found - truth.keys()) <= 2 and right >= 0.9, (len(truth.keys() & found), found - truth.keys(), right)
+
+
+def test_a_page_with_letters_of_its_own_is_corrected():
+    """Of a known cipher whose writer swapped two letters, the learned table has the swap."""
+    rng = random.Random(4)
+    words = Counter("".join(rng.choices(TONGUES["ru"], k=rng.randint(2, 4))) for _ in range(4000))
+    pairs = Counter()
+    for w, n in words.items():
+        for p in zip("\n" + w, w + "\n"):
+            pairs[p] += n
+    model = E.Model(dict(pairs), {}, {})
+    odd = Counter()
+    for w, n in words.items():
+        g = read_as(w.translate(str.maketrans("ми", "им")), "cp1251", "cp1252")
+        for p in zip("\n" + g, g + "\n"):
+            odd[p] += n
+    page = dict(zip(read_as("ми", "cp1251", "cp1252"), "им"))
+    assert E.decipher(dict(odd), model, "cp1251>cp1252") in (page, {}) and E.decipher({p: n for p, n in pairs.items()}, model, "cp1251>cp1252") == {}
+
+
+def test_languages_without_garbling_teach_no_cipher(spark):
+    """A small source of a language of its own, well written, is left as it is."""
+    rng = random.Random(6)
+    text = lambda parts, k: " ".join("".join(rng.choices(parts, k=rng.randint(2, 4))) for _ in range(k))
+    rows = [(i, text(TONGUES[t], 30), f"s{i % 5}") for i, t in enumerate(list(TONGUES) * 80)]
+    rows += [(5000 + i, text(["žlu", "ťou", "čký", "kůň", "pří", "šer", "ně", "úpěl"], 14), "cz") for i in range(60)]
+    records = E.records([("a", spark.createDataFrame(rows, "k long, t string, s string"), "k", "t", "s")])
+    model = E.learn(records)
+    assert not model.learned and not {r.rec_id for r in E.garbled(records, model).where("rec_id >= 5000").collect()}
