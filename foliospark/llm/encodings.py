@@ -21,7 +21,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 from math import exp, log
 
 import numpy as np
@@ -40,7 +40,7 @@ WRITERS = ("cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "cp1253
 OTHERS = ("cp1254", "cp1255", "cp1256", "cp1257", "cp1258", "cp852", "cp855", "iso8859-3", "iso8859-4", "iso8859-5", "iso8859-6", "iso8859-8", "iso8859-9", "iso8859-10", "iso8859-13", "iso8859-14", "iso8859-15", "iso8859-16", "koi8-u", "mac_cyrillic", "mac_greek", "mac_latin2")
 #: Latin-1 has nothing but control signs where it differs from cp1252, so nobody has written them.
 SAME = {("cp1252", "latin-1")}
-ROUNDS = 3
+ROUNDS = 2
 #: What the different words of a record must gain together, in nats, before a cipher is believed, and what
 #: a cipher is spared whose share of its source's words is over MET: its logarithm over MET, RELIEF at most.
 DOUBT, MET, RELIEF = 9.5, 1e-4, 3.5
@@ -67,7 +67,8 @@ KNOWN = 300_000
 TABLE = 1200
 
 
-def code_page(codec: str) -> list[str]:
+@cache
+def code_page(codec: str) -> tuple[str, ...]:
     """The 256 signs of a code page; bytes it leaves undefined stand for themselves."""
     signs = []
     for byte in range(256):
@@ -75,7 +76,7 @@ def code_page(codec: str) -> list[str]:
             signs.append(bytes([byte]).decode(codec))
         except UnicodeDecodeError:
             signs.append(chr(byte))
-    return signs
+    return tuple(signs)
 
 
 def _signs(word: str) -> frozenset[str]:
@@ -237,11 +238,11 @@ class Model:
         self.hints: dict[str, list] = {}
         self.languages: dict[str, _Language] = {}
 
-    def language(self, script: str) -> _Language:
-        """The letter pairs of a script."""
+    def language(self, script: str, plain: frozenset[str]) -> _Language:
+        """The letter pairs of a script and of the `plain` signs that are given."""
         if script not in self.languages:
             self.languages[script] = _Language(self, script)
-        return self.languages[script]
+        return self.languages[script].only(plain)
 
     def pair(self, x: str, y: str) -> float:
         value = self.logs.get((x, y))
@@ -414,6 +415,14 @@ EXPECTED = T.StructType([T.StructField("kind", T.StringType()), T.StructField("a
 UNKNOWN = "?"
 
 
+@lru_cache(maxsize=KNOWN)
+def _facts(word: str) -> tuple[bool, str, str]:
+    """(malformed, core, script of the letters outside ASCII if the core has nothing but letters and they are of one of the three)."""
+    core = core_of(word)
+    scripts = {script_of(c) for c in core if c > "\x7f"}
+    return malformed(word), core, next(iter(scripts)) if core.isalpha() and len(scripts) == 1 and scripts <= SCRIPTS.keys() else ""
+
+
 def _expect(model: Model | None, last: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One expectation step over (source, word, n): expected bigrams, words, shares and, in the last, sign pairs of this partition.
 
@@ -426,7 +435,7 @@ def _expect(model: Model | None, last: bool, batches: Iterator[pa.RecordBatch])
         for source, word, n in zip(sources, words, numbers):
             weights = model.weights(source, word) if model else []
             stays = 1.0 - sum(w for _, w in weights)
-            odd = malformed(word)
+            odd, core, script = _facts(word)
             for read, w in [(word, 0.0 if odd else stays), *((r[2], w) for r, w in weights)]:
                 if w >= 0.01:
                     framed = f"\n{read}\n"
@@ -434,9 +443,7 @@ def _expect(model: Model | None, last: bool, batches: Iterator[pa.RecordBatch])
                         counts["bigram", x, y, None] += n * w
             if model is None:
                 continue
-            core = core_of(word)
-            scripts = {script_of(c) for c in core if c > "\x7f"}
-            if core.isalpha() and not odd and len(scripts) == 1 and (script := scripts.pop()) in SCRIPTS:
+            if script and not odd:
                 counts["word", script, core, None] += n * stays
             counts["share", source, "\n", None] += n
             for r, w in weights:
@@ -458,17 +465,24 @@ class _Language:
     """The letter pairs of one script, ASCII with it, as a matrix of probabilities."""
 
     def __init__(self, model: Model, script: str):
-        letters = sorted(s for s in model.base if s > "\x7f" and s.isalpha() and script_of(s) == script)
+        letters = sorted(s for s, share in model.base.items() if s > "\x7f" and script_of(s) == script and share >= RARE)
         self.signs = ["\n", *map(chr, range(33, 127)), *letters]
-        self.index = {s: i for i, s in enumerate(self.signs)}
-        self.free = np.arange(len(self.signs)) >= 95
-        pairs = np.zeros((len(self.signs),) * 2)
+        index = {s: i for i, s in enumerate(self.signs)}
+        self.counts = np.zeros((len(self.signs),) * 2)
         for (x, y), n in model.bigrams.items():
-            if x in self.index and y in self.index:
-                pairs[self.index[x], self.index[y]] += n
-        use = pairs.sum(0) + pairs.sum(1)
-        self.share = use / max(use.sum(), 1e-300)
-        self.pairs = pairs / max(pairs.sum(), 1e-300) * (1 - SMOOTH) + SMOOTH * np.outer(self.share, self.share)
+            if x in index and y in index:
+                self.counts[index[x], index[y]] += n
+
+    def only(self, plain: frozenset[str]) -> _Language:
+        """The same with no signs of ASCII but these."""
+        made, kept = object.__new__(_Language), [i for i, s in enumerate(self.signs) if s > "\x7f" or s in plain]
+        made.signs, made.counts = [self.signs[i] for i in kept], self.counts[np.ix_(kept, kept)]
+        made.index = {s: i for i, s in enumerate(made.signs)}
+        made.free = np.array([s > "\x7f" for s in made.signs])
+        use = made.counts.sum(0) + made.counts.sum(1)
+        made.share = use / max(use.sum(), 1e-300)
+        made.pairs = made.counts / max(made.counts.sum(), 1e-300) * (1 - SMOOTH) + SMOOTH * np.outer(made.share, made.share)
+        return made
 
 
 def _maximise(counts: np.ndarray, language: _Language, table: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
@@ -505,7 +519,7 @@ def decipher(pairs: dict[tuple[str, str], float], model: Model, name: str = UNKN
     plain = nats(start)
     scripts = {script_of(v) for v in start.values()} & SCRIPTS.keys() if known else SCRIPTS
     for script in sorted(scripts):
-        language = model.language(script)
+        language = model.language(script, frozenset(s for s in signs if s <= "\x7f"))
         letters = np.flatnonzero(language.free & (language.share > 0))
         if not len(letters):
             continue
@@ -526,7 +540,8 @@ def decipher(pairs: dict[tuple[str, str], float], model: Model, name: str = UNKN
             starts = [seeded(start, 0.9)]
         else:
             guesses = [dict(zip(code_page(r)[128:], code_page(w)[128:])) for r in READERS for w in (*WRITERS, *OTHERS) if r != w]
-            starts = [seeded(g, 0.9) for g in sorted(guesses, key=lambda g: -nats(g))[:1]]
+            letters_of = lambda g: sum(use[i] * log(model.base.get(g.get(signs[i], ""), model.rare)) for i in free)
+            starts = [seeded(g, 0.9) for g in sorted(guesses, key=letters_of)[-2:]]
             order, by_use = letters[np.argsort(-language.share[letters], kind="stable")], sorted(free, key=lambda i: -use[i])
             chance = np.random.default_rng(0)
             for spread in (4.0, 4.0, 8.0, 8.0, 16.0, 16.0, 16.0, 16.0):
@@ -539,8 +554,10 @@ def decipher(pairs: dict[tuple[str, str], float], model: Model, name: str = UNKN
         if known:
             chosen = dict(start)
             for sign, letter in found.items():
-                if letter != start[sign] and script_of(start[sign]) == script and letter not in chosen.values() and nats(chosen | {sign: letter}) - nats(chosen) > LETTER + EVIDENCE / 10:
-                    chosen[sign] = letter
+                if letter != start[sign] and script_of(start[sign]) == script and letter not in chosen.values():
+                    own, other = {p: n for p, n in pairs.items() if sign in p}, chosen | {sign: letter}
+                    if sum(n * (model.pair(other.get(x, x), other.get(y, y)) - model.pair(chosen.get(x, x), chosen.get(y, y))) for (x, y), n in own.items()) > LETTER + EVIDENCE / 10:
+                        chosen[sign] = letter
             start = chosen
             continue
         mapped = nats(found)
@@ -566,7 +583,9 @@ def learn_tables(pairs: DataFrame, model: Model) -> tuple[dict, dict]:
         return pd.DataFrame([(source, name, k, v) for k, v in found.items()], columns=["source", "cipher", "sign", "letter"], dtype=object)
 
     tables: dict = defaultdict(dict)
-    for r in pairs.groupBy("a", "b").applyInPandas(each, TABLE_ROW).toLocalIterator():
+    # few rows and much work: spread by hand, as the size of the rows would put all groups into one task
+    spread = pairs.repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism, "a", "b")
+    for r in spread.groupBy("a", "b").applyInPandas(each, TABLE_ROW).collect():
         tables[r.source, r.cipher][r.sign] = r.letter
     shared.unpersist()
     learned = {source: Learned("learned", letters) for (source, name), letters in tables.items() if name == UNKNOWN}
