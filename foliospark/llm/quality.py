@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A word is common if one page in so many has it. A page has few hundred words, so there are at
-#: most a few hundred times this many common words, however large the corpus.
-COMMON_PAGES = 250
+#: A word is common if one page in so many of its language has it, two at least. A page has few hundred words, so
+#: there are at most a few hundred times this many common words a language, however large the corpus.
+COMMON_PAGES = 30
 #: Lines whose lengths spread by less than this share of their mean are of one length; entries that make a rhythm.
 EVEN, ENTRIES = 0.2, 6
 ENDS = ".!?;:…”\"'»"
@@ -166,19 +166,41 @@ def _pronounceable(text: str) -> bool:
     return (len(latin) < 20 or vowels > 0.22 * len(latin)) and inner < 0.25
 
 
-def common_words(pages: DataFrame, text: str = "norm_text", pages_per_word: int = COMMON_PAGES) -> frozenset[str]:
-    """The words that one page in `pages_per_word` has, over all pages."""
-    found = pages.where(pages[text].isNotNull()).select(F.array_distinct(F.regexp_extract_all(F.lower(pages[text]), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
-    total = F.lit(found.count() / pages_per_word)
-    return frozenset(r.word for r in found.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= F.greatest(total, F.lit(2))).select("word").toLocalIterator())
+def language_of(pages: DataFrame, books: DataFrame | None, book: str = "book_id", lang: str = "lang") -> DataFrame:
+    """`pages` with a column `__lang`: the book's language in lower case, one group for what has none.
 
+    (book, language) is joined as narrow rows; Spark broadcasts them only under its own checked size.
+    Pages of no book are not sent to one task for it."""
+    if books is None:
+        return pages.withColumn("__lang", F.lit(""))
+    named = books.where(books[book].isNotNull()).groupBy(books[book].alias("__book")).agg(F.max(F.lower(F.trim(books[lang]))).alias("__lang"))
+    known = pages.where(pages[book].isNotNull()).join(named, F.col(book) == F.col("__book"), "left").drop("__book").withColumn("__lang", F.coalesce("__lang", F.lit("")))
+    return known.unionByName(pages.where(pages[book].isNull()).withColumn("__lang", F.lit("")))
 
-def page_figures(pages: DataFrame, key: str = "page_uid", text: str = "norm_text", common: frozenset[str] | None = None) -> DataFrame:
+
+def word_shares(pages: DataFrame, text: str, pages_per_word: int, least: int, books: DataFrame | None = None, book: str = "book_id") -> dict[str, float]:
+    """Each word that one page in `pages_per_word` of a language has, `least` at least: the greatest share of a language's pages with it.
+
+    Shares are within a language, so more pages of others take no word away. What the driver
+    collects is bounded by the number of languages."""
+    spoken = language_of(pages, books, book).where(F.col(text).isNotNull()).select("__lang", F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
+    counts = spoken.select("__lang", F.explode(F.concat(F.array(F.lit("")), "w")).alias("word")).groupBy("__lang", "word").agg(F.count("*").alias("n"))
+    totals = counts.where("word = ''").select("__lang", F.col("n").alias("total"))
+    kept = counts.where("word <> ''").join(totals, "__lang").where(F.col("n") >= F.greatest(F.lit(least), F.col("total") / pages_per_word))
+    return {r.word: r.share for r in kept.groupBy("word").agg(F.max(F.col("n") / F.col("total")).alias("share")).toLocalIterator()}
+
+
+def common_words(pages: DataFrame, text: str = "norm_text", pages_per_word: int = COMMON_PAGES, books: DataFrame | None = None) -> frozenset[str]:
+    """The words that one page in `pages_per_word` of a language has, over all pages."""
+    return frozenset(word_shares(pages, text, pages_per_word, 2, books))
+
+
+def page_figures(pages: DataFrame, books: DataFrame | None = None, key: str = "page_uid", text: str = "norm_text", common: frozenset[str] | None = None) -> DataFrame:
     """(page_uid, the figures, kind) of every page, one row per distinct page state.
 
-    Null and empty texts have figures of 0 and kind blank. Texts of any length are taken whole. No
+    With `books` (book_id, lang) common words are learned language by language. Null and empty texts have figures of 0 and kind blank. Texts of any length are taken whole. No
     shuffle but that which drops redelivered rows, on key and figures."""
-    shared = pages.sparkSession.sparkContext.broadcast(common_words(pages, text) if common is None else common)
+    shared = pages.sparkSession.sparkContext.broadcast(common_words(pages, text, books=books) if common is None else common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

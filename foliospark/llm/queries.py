@@ -50,12 +50,12 @@ def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pages that are a list, a table or junk."""
-    return quality.not_prose(quality.page_figures(table(spark, folder, "page_text")))
+    return quality.not_prose(p4_figures(spark, folder))
 
 
 def p4_figures(spark: SparkSession, folder: str) -> DataFrame:
     """Every page's figures and kind."""
-    return quality.page_figures(table(spark, folder, "page_text"))
+    return quality.page_figures(table(spark, folder, "page_text"), table(spark, folder, "book"))
 
 
 def _lookalikes(spark: SparkSession, folder: str) -> DataFrame:

@@ -23,14 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.quality import common_words, figures, kind
+from foliospark.llm.quality import COMMON_PAGES, figures, kind, word_shares
 
-#: A word is in the lexicon if one page in so many has it, five pages at least; as a page has few
+#: A word is in the lexicon if one page in so many of its language has it, five pages at least; as a page has few
 #: hundred words, the lexicon has a bound that does not depend on the corpus.
-LEXICON_PAGES, LEXICON_LEAST = 2000, 5
+LEXICON_PAGES, LEXICON_LEAST = 250, 5
+#: Pages that shares of pages are told in, whatever the corpus has.
+SCALE = 10_000
 #: What a sign is misread from.
-CONFUSIONS = {"0": "oοо", "1": "liι", "|": "iιlі", "!": "iι", "2": "z", "3": "зeε", "4": "чa", "5": "sς", "6": "bбσ", "7": "tτт", "8": "b", "9": "g", "c": "e"}
-PAIRS = {"rn": "m"}
+CONFUSIONS = {"0": "oοо", "1": "liι", "|": "iιlі", "!": "iι", "2": "z", "3": "зeε", "4": "чa", "5": "sς", "6": "bбσ", "7": "tτт", "8": "b", "9": "g"}
+#: Letters read for letters.
+PAIRS = {"c": "e", "rn": "m"}
 HYPHENS = "-‐¬"
 CHANGE, JOIN, HALVES, CUT, UNKNOWN, PER_LETTER = 3.0, 0.4, 1.0, 15.0, 12.0, 1.2
 #: A letter read for another is only believed if the word it makes has so many times the pages.
@@ -48,7 +51,7 @@ _core = re.compile(r"^[^\w|!]*(.*?)[^\w|]*$", re.S)
 class Lexicon:
     """Pages per word, and the letter pairs of the words."""
 
-    def __init__(self, pages: dict[str, int], total: int):
+    def __init__(self, pages: dict[str, float], total: int):
         self.pages, self.total = pages, max(total, 1)
         self.read: dict[str, tuple[str, float, str, bool]] = {}
         self.pairs, self.firsts = Counter(), Counter()
@@ -100,11 +103,10 @@ def corrected(core: str, lexicon: Lexicon, whole: bool = True) -> tuple[str, int
         return (word, changes) if changes and (not lone or word.lower() in lexicon.pages) else (core, 0)
     low = core.lower()
     own = lexicon.pages.get(low, 0)
-    if whole and core.isalpha() and len(core) > 3 and own * RATIO < lexicon.total and ("c" in low or "rn" in low):
-        options = [core[:i] + "e" + core[i + 1 :] for i, c in enumerate(core) if c == "c"]
-        options += [core[:i] + "m" + core[i + 2 :] for i in range(len(core) - 1) if core[i : i + 2] == "rn"]
+    if whole and core.isalpha() and len(core) > 3 and own * RATIO < lexicon.total and any(seen in low for seen in PAIRS):
+        options = [core[:i] + meant + core[i + len(seen) :] for seen, meant in PAIRS.items() for i in range(len(core)) if core.startswith(seen, i)]
         best = max(options, key=lambda w: (lexicon.pages.get(w.lower(), 0), w), default=None)
-        if best is not None and lexicon.pages.get(best.lower(), 0) >= RATIO * max(own, 0.2):
+        if best is not None and lexicon.pages.get(best.lower(), 0) > RATIO * own:
             return best, 1
     return core, 0
 
@@ -188,7 +190,8 @@ def is_header(line: str, title: str | None, first: bool) -> bool:
 
     Where the title is unknown, a first line of capitalised words with a page number at one end is
     one."""
-    if title and not first and len(line) > 3 * len(title) + 12:
+    size = len(line.strip())
+    if title and not first and size > 3 * len(title) + 12:
         return False
     bare = _edge_number.sub("", line).strip(" |·-–—")
     if title and (wanted := letters_of(title)):
@@ -198,7 +201,7 @@ def is_header(line: str, title: str | None, first: bool) -> bool:
         has = letters_of(bare)
         if has == wanted or letters_of(re.sub(r"\b[ivxlc]+\b", "", bare)) == wanted:
             return True
-        return first and 0 < len(line) < 3 * len(title) + 12 and len(has) > 4 and not re.search(r"[.!?;:,]", line) and SequenceMatcher(None, has, wanted, False).ratio() > 0.7
+        return first and 0 < size < 3 * len(title) + 12 and len(has) > 4 and not re.search(r"[.!?;:,]", line) and SequenceMatcher(None, has, wanted, False).ratio() > 0.7
     words = re.findall(r"[^\W\d_]+", bare)
     return first and bare != line.strip() and 1 < len(words) < 7 and not re.search(r"[.!?;:,]", line) and all(w[0].isupper() for w in words)
 
@@ -257,12 +260,9 @@ def repair(text: str, title: str | None, lexicon: Lexicon) -> tuple[str, dict[st
     return "\n\n".join(out), dict(done)
 
 
-def lexicon_of(pages: DataFrame, text: str, pages_per_word: int = LEXICON_PAGES, least: int = LEXICON_LEAST) -> Lexicon:
-    """The lexicon of all pages: each word that one page in `pages_per_word` has, with its pages."""
-    words = pages.where(pages[text].isNotNull()).select(F.array_distinct(F.regexp_extract_all(F.lower(pages[text]), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
-    total = words.count()
-    found = words.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= max(least, total / pages_per_word))
-    return Lexicon({r.word: r.n for r in found.toLocalIterator()}, total)
+def lexicon_of(pages: DataFrame, text: str, books: DataFrame | None = None, book: str = "book_id", pages_per_word: int = LEXICON_PAGES, least: int = LEXICON_LEAST) -> Lexicon:
+    """The lexicon of all pages: each word that one page in `pages_per_word` of a language has, with its pages in SCALE."""
+    return Lexicon({w: share * SCALE for w, share in word_shares(pages, text, pages_per_word, least, books, book).items()}, SCALE)
 
 
 DAMAGE = ("page_number", "header", "hyphen", "misread", "spaced")
@@ -277,11 +277,13 @@ def repaired_pages(pages: DataFrame, books: DataFrame, key: str = "page_uid", bo
     without damage have no row and no text is returned. Titles are joined to keys and texts by
     book; has_ocr is not trusted and not read. Repeated rows give one row."""
     spark = pages.sparkSession
-    shared = spark.sparkContext.broadcast(lexicon_of(pages, text))
-    threshold = shared.value.total / 250
+    shared = spark.sparkContext.broadcast(lexicon_of(pages, text, books if "lang" in books.columns else None, book))
+    threshold = SCALE / COMMON_PAGES
     common = frozenset(w for w, n in shared.value.pages.items() if n >= threshold)
     own = pages.select(pages[key].cast("long").alias("page_uid"), pages[book].alias("b"), pages[text].alias("t"), pages[norm].alias("n")).where(F.col("t").isNotNull())
-    titled = own.join(books.select(books[book].alias("b"), books[title].alias("title")).dropDuplicates(["b"]), "b", "left").select("page_uid", "t", "n", "title")
+    named = books.where(books[book].isNotNull()).groupBy(books[book].alias("b")).agg(F.min(books[title]).alias("title"))
+    titled = own.where("b IS NOT NULL").join(named, "b", "left").select("page_uid", "t", "n", "title")
+    titled = titled.unionByName(own.where("b IS NULL").select("page_uid", "t", "n", F.lit(None).cast("string").alias("title")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = shared.value

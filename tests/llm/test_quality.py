@@ -67,3 +67,16 @@ def test_alignment_is_of_columns_not_of_numbers():
 def test_indents_of_paragraphs_are_no_rhythm():
     lines = [" " * 4 * (i in (0, 7, 11, 20)) + "word" for i in range(24)]
     assert Q.figures("\n".join(lines), COMMON)["indent_period"] < 0.5
+
+
+def test_pages_of_other_languages_take_no_common_word_away(spark):
+    """A small language keeps its words, and its pages their kind, when ten times as many pages of others come."""
+    small = [(i, 1, f"Kota byla w domu i nie miala nic {w} oraz tam byla. I nie bylo nic w domu.") for i, w in enumerate("abcdefgh")]
+    large = [(100 + i, 2, f"The cart was in the town {i % 7} and it was there. It was not a lamp.") for i in range(400)]
+    books = spark.createDataFrame([(1, "PL"), (2, "en"), (None, "xx")], "book_id long, lang string")
+    frame = lambda rows: spark.createDataFrame(rows, "page_uid long, book_id long, norm_text string")
+    alone, beside = (Q.common_words(frame(r), books=books) for r in (small, small + large))
+    assert {"nie", "w", "domu"} <= alone <= beside
+    kinds = lambda rows: {r.page_uid: r.kind for r in Q.page_figures(frame(rows), books).where("page_uid < 100").collect()}
+    assert kinds(small) == kinds(small + large)
+    assert Q.page_figures(frame([(1, None, PROSE), (2, 77, PROSE)]), books).count() == 2

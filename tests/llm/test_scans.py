@@ -76,3 +76,16 @@ def test_pages(spark):
     full = S.repaired_pages(pages, books)
     assert full.where("page_uid = 100").count() == 1 and full.where("page_uid IN (103, 104, 105)").count() == 0 and full.count() == 44
     assert S.repaired_pages(pages.limit(0), books, only_damaged=True).count() == 0
+
+
+def test_centred_headers_below_the_second_line():
+    assert S.is_header(" " * 40 + "Dune", "Dune", False) and S.is_header("Dune", "Dune", False) and not S.is_header("x" * 60 + " Dune", "Dune", False)
+
+
+def test_pages_of_other_languages_take_no_word_away(spark):
+    rng = random.Random(2)
+    small = [(i, 1, sentence(rng, 20) + (" the h a r b o u r was gaugc" if i == 0 else "")) for i in range(30)]
+    large = [(1000 + i, 2, "zupa byla dobra " * 5) for i in range(900)]
+    books = spark.createDataFrame([(1, "One", "EN"), (2, "Two", "pl")], "book_id long, title string, lang string")
+    found = lambda rows: {r.page_uid for r in S.repaired_pages(spark.createDataFrame([(k, b, t, t) for k, b, t in rows], "page_uid long, book_id long, raw_text string, norm_text string"), books, only_damaged=True).collect() if r.page_uid < 1000}
+    assert found(small) == found(small + large) == {0}
