@@ -91,9 +91,13 @@ def reaches(lead: int, around: str, other_lead: int, other: str) -> tuple[int, i
 VERIFIED = T.StructType([T.StructField("band", T.LongType()), T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("before", T.IntegerType()), T.StructField("after", T.IntegerType())])
 
 
-def verified_contexts(at: DataFrame, span: int = MIN_CHARS, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+def verified_contexts(at: DataFrame, span: int = MIN_CHARS, gram: int = GRAM, crowd: int = CROWD, pairs: bool = True) -> DataFrame:
     """(band, a, b, before, after): different contexts of one place that share a passage, and how far they agree.
 
+    Without `pairs`, each context of a large group is linked to the least context of each passage
+    that it shares instead of to all that share it. Such links cover and connect the same, and
+    there are at most as many as a context has passages, whatever the size of the group.
+
     A group of at most `crowd` different contexts is compared as a whole. In a larger one the
     passages through the place are hashed instead: contexts with a passage in common meet under its
     digest, whatever the size of the group, and no others are compared."""
@@ -115,13 +119,12 @@ def verified_contexts(at: DataFrame, span: int = MIN_CHARS, gram: int = GRAM, cr
     few = sized.where(F.col("n") <= crowd).groupBy("band").agg(F.collect_list(F.struct("context", "lead", "around")).alias("all")).mapInArrow(run, VERIFIED)
     passages = sized.where(F.col("n") > crowd).select("band", "context", "lead", F.explode(F.expr(f"transform(sequence(0, least(lead, length(around) - {span})), i -> struct(lead - i AS back, sha2(substring(around, i + 1, {span}), 256) AS passage))")).alias("p"))
     keyed = passages.select("band", "context", F.col("p.back").alias("back"), F.col("p.passage").alias("passage"))
-    many = (
-        keyed.alias("x")
-        .join(keyed.alias("y"), ["band", "passage", "back"])
-        .where("x.context < y.context")
-        .groupBy("band", F.col("x.context").alias("a"), F.col("y.context").alias("b"))
-        .agg(F.max("back").cast("int").alias("before"), (F.lit(span) - F.min("back")).cast("int").alias("after"))
-    )
+    if pairs:
+        met = keyed.alias("x").join(keyed.alias("y"), ["band", "passage", "back"]).where("x.context < y.context")
+    else:
+        least = keyed.groupBy("band", "passage", "back").agg(F.min("context").alias("context"), F.max("context").alias("most")).where("context < most").drop("most")
+        met = least.alias("x").join(keyed.alias("y"), ["band", "passage", "back"]).where("x.context < y.context")
+    many = met.groupBy("band", F.col("x.context").alias("a"), F.col("y.context").alias("b")).agg(F.max("back").cast("int").alias("before"), (F.lit(span) - F.min("back")).cast("int").alias("after"))
     return few.unionByName(many)
 
 

@@ -25,6 +25,8 @@ VOCABULARY = os.environ.get("FOLIOSPARK_VOCABULARY", "/opt/tokenizers/byte_bpe_5
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces whose ids a worker remembers; beyond it the store starts anew, results stay the same.
 REMEMBERED = 400_000
+#: Pairs whose compatibility a worker remembers, about 100 bytes each; beyond it the table starts anew.
+PAIRS = 1_000_000
 #: Pieces longer than this are encoded afresh each time.
 LONG_PIECE = 64
 NEVER = 1 << 60
@@ -101,6 +103,8 @@ class Encoder:
         """The pair table."""
         key = left << 32 | right
         if (known := self.compatible.get(key)) is None:
+            if len(self.compatible) >= PAIRS:
+                self.compatible.clear()
             known = self.compatible[key] = self._beside(left, right)
         return known
 

@@ -79,3 +79,25 @@ def test_a_document_shares_nothing_with_itself(spark):
     text = "".join(random.Random(2).choices("abcdef", k=300))
     at = spans.surroundings(frame(spark, [(1, text + text), (1, text)]))
     assert spans.shared_pairs(at, spans.verified_contexts(at)).count() == 0
+
+
+@pytest.mark.parametrize("crowd", [1, 4])
+def test_links_to_the_least_cover_and_connect_the_same(spark, crowd):
+    docs = made(4)
+    at = spans.surroundings(frame(spark, docs), span=40, gram=10)
+    every, least = (cut(spans.verified_contexts(at, 40, 10, crowd, pairs=p)) for p in (True, False))
+    of = lambda v: (sorted(map(tuple, spans.shared_share(frame(spark, docs), at, v, span=40).collect())), sorted(map(tuple, spans.components(at, v).collect())))
+    assert of(every) == of(least) and least.count() <= every.count()
+
+
+def test_a_passage_of_very_many_documents_links_in_linear_rows(spark):
+    rng, n = random.Random(9), 300
+    text = lambda k: "".join(rng.choices("abcdefghij", k=k))
+    passage = text(50)
+    docs = [(i, text(60) + passage + text(60)) for i in range(n)]
+    at = spans.surroundings(frame(spark, docs), span=40, gram=10)
+    links = cut(spans.verified_contexts(at, 40, 10, 8, pairs=False))
+    bands = at.select("band").distinct().count()
+    assert links.count() <= 31 * n * bands and {r.component for r in spans.components(at, links).collect()} == {0}
+    # a context has 31 passages through its place; all pairs would be n * (n - 1) / 2 = 44850
+    assert links.groupBy("band").count().agg({"count": "max"}).first()[0] <= 31 * n
