@@ -98,6 +98,18 @@ def _convert(spark, jobs: list[dict], kind: str, args) -> list[str]:
     return failed
 
 
+def _isolated(spark, jobs: list[dict], kind: str, args) -> list[str]:
+    """The inputs that failed; where jobs together fail, each half by itself, so that a bad one takes no other with it."""
+    try:
+        return _convert(spark, jobs, kind, args)
+    except Exception as wrong:  # noqa: BLE001 - whatever one job meets must not end the others
+        if len(jobs) > 1:
+            middle = len(jobs) // 2
+            return _isolated(spark, jobs[:middle], kind, args) + _isolated(spark, jobs[middle:], kind, args)
+        print(f"{kind}: {jobs[0]['input']}: {wrong}", file=sys.stderr)
+        return [jobs[0]["input"]]
+
+
 def main(argv: list[str] | None = None) -> int:
     """0 if all went well, 1 if a job failed or a document is not valid."""
     args = parser().parse_args(argv)
@@ -117,11 +129,7 @@ def main(argv: list[str] | None = None) -> int:
     failed = [j["input"] for j in jobs if j["type"] not in ("pdf", "epub")]
     for kind in ("pdf", "epub"):
         if own := [j for j in jobs if j["type"] == kind]:
-            try:
-                failed += _convert(spark, own, kind, args)
-            except (RuntimeError, ValueError) as wrong:
-                print(f"{kind}: {wrong}", file=sys.stderr)
-                failed += [j["input"] for j in own]
+            failed += _isolated(spark, own, kind, args)
     for name in failed:
         print(f"failed: {name}", file=sys.stderr)
     return int(bool(failed))

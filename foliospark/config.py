@@ -13,7 +13,6 @@ DEFAULTS: dict[str, Any] = {
     "pdf": {"list_markers": ["•", "-", "—", "–"]},
     "classifier": {"enabled": False, "threshold": 0.85, "abstain_label": "abstain"},
     "docbook": {"root": "book", "dtd_system": "book.dtd"},
-    "tolerances": {"char_diff_per_page": 0},
 }
 
 

@@ -95,6 +95,11 @@ def single_labels(features: DataFrame) -> Column:
     )
 
 
+def with_gap(lines: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The lines with `gap`: how far below the next line begins; null for the last."""
+    return lines.withColumn("gap", F.lead("top").over(Window.partitionBy(*keys).orderBy(*order)) - F.col("top"))
+
+
 def paragraphs(lines: DataFrame, order: list[str]) -> DataFrame:
     """(doc_id, para, page_num, lines, text, top, left, bottom): neighbouring lines that go on with each other.
 

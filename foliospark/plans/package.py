@@ -105,6 +105,11 @@ def number_figures(images: DataFrame) -> DataFrame:
     return placed.withColumn("number", number).withColumn("letter", letter).where("saved").drop("any", "size", "place")
 
 
+def first_of_name(images: DataFrame, order: list) -> DataFrame:
+    """The images (doc_id, ref, …) with `first`: whether one is the first of its file name in its document."""
+    return images.withColumn("first", F.row_number().over(Window.partitionBy("doc_id", base_name(F.col("ref"))).orderBy(*order)) == 1)
+
+
 def package_images(nodes: DataFrame, media: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """Every image with its target file (null: taken out), content and catalogue entry.
 
@@ -130,9 +135,8 @@ def package_images(nodes: DataFrame, media: DataFrame, parts: DataFrame | None =
         (F.col("figure").isNotNull() & is_referenced(F.col("figure_id"), F.col("caption"))).alias("referenced_in_text"),
         F.col("info.width").alias("width"), F.col("info.height").alias("height"), file_size(F.length("content")).alias("file_size"), F.col("info.format").alias("format"),
     )
-    first = Window.partitionBy("doc_id", base_name(F.col("ref"))).orderBy(F.coalesce("frag_ord", F.lit(1 << 30)), "node_id")
     usable = F.col("content").isNull() | filled
-    shared = judged.where("class = 'decorative'").where(usable).withColumn("first", F.row_number().over(first) == 1)
+    shared = first_of_name(judged.where("class = 'decorative'").where(usable), [F.coalesce("frag_ord", F.lit(1 << 30)), F.col("node_id")])
     decor = shared.select("doc_id", "node_id", "frag_ord", F.concat(F.lit(SHARED), base_name(F.col("ref"))).alias("target"), F.when(F.col("first"), F.coalesce("content", F.lit(b""))).alias("content"))
     gone = judged.select("doc_id", "node_id", "frag_ord").join(catalogued.select("doc_id", "node_id").unionByName(decor.select("doc_id", "node_id")), ["doc_id", "node_id"], "left_anti")
     return catalogued.unionByName(decor, allowMissingColumns=True).unionByName(gone, allowMissingColumns=True)

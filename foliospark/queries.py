@@ -5,7 +5,7 @@ says so. Every query runs over its whole tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.config import DEFAULTS
@@ -18,7 +18,7 @@ from foliospark.operators.diff import diff_tables, difference_counts, difference
 from foliospark.plans import package, tree
 from foliospark.plans.label import classify, label_blocks
 from foliospark.session import cut, table
-from foliospark.sources.markup import html_to_docbook, layout_tables, parse_layout
+from foliospark.sources.markup import epub_html, epub_pages, html_to_docbook, layout_tables, parse_epub, parse_layout
 from foliospark.validation import compile_type, violations
 
 FLAGSHIP = "qa_flags"
@@ -76,7 +76,7 @@ def _assembled(spark: SparkSession, d: str) -> DataFrame:
     segments = lines_of.segment_lines(table(spark, d, "text_segment").where("text IS NOT NULL").select("line_id", "seg_ord", "left_pos", "width", "font_size", "text"))
     own = F.array(F.struct(F.col("left"), F.lit(0).alias("ord"), F.lit(0.0).alias("width"), F.col("font_size"), F.col("text")))
     joined = rows.join(segments.select("line_id", "segments"), "line_id", "left")
-    return joined.withColumn("segments", F.coalesce("segments", own)).withColumn("page_ord", F.coalesce("page_num", F.lit(0))).withColumn("line_ord", F.col("line_id").cast("int"))
+    return joined.withColumn("segments", F.coalesce("segments", own)).withColumn("page_ord", F.coalesce("page_num", F.lit(0))).withColumn("line_ord", F.col("line_id"))
 
 
 def _text_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +102,15 @@ def normalize_events(spark: SparkSession, d: str) -> DataFrame:
     return made.select("doc_id", F.col("n.text").alias("norm_text"), F.size("n.events").alias("events"))
 
 
-@query()
+#: Letters, digits and underscores around a hyphen at a line's end.
+BROKEN = r"([\p{L}\p{N}_]+)-\n([\p{L}\p{N}_]+)"
+CAPITALS = "upper({0}) = {0} AND lower({0}) <> {0}"
+
+
+@query(
+    f"""WITH {PAGES}, s AS (SELECT doc_id, page_num, string_split_regex(raw_text, '{BROKEN}') AS p, regexp_extract_all(raw_text, '{BROKEN}', 1) AS l, regexp_extract_all(raw_text, '{BROKEN}', 2) AS r FROM pages WHERE raw_text IS NOT NULL)
+SELECT doc_id, page_num, array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || CASE WHEN i > len(l) THEN '' WHEN {CAPITALS.format("l[i]")} AND {CAPITALS.format("r[i]")} THEN l[i] || '-' || r[i] ELSE l[i] || r[i] END), '') AS norm_text FROM s"""
+)
 def dehyphenate(spark: SparkSession, d: str) -> DataFrame:
     """Pages with words joined across line ends, line ends kept."""
     return _pages(spark, d).where("raw_text IS NOT NULL").select("doc_id", "page_num", X.dehyphenate(F.col("raw_text")).alias("norm_text"))
@@ -197,10 +205,10 @@ def qa_report_rows(spark: SparkSession, d: str) -> DataFrame:
     return pages_of.report_rows(qa_flags(spark, d), F.concat(F.lit("book-"), F.col("doc_id").cast("string")))
 
 
-@query(f"WITH {PAGES}, n AS (SELECT DISTINCT doc_id, page_num FROM pages WHERE page_num IS NOT NULL AND page_uid % 3 > 0), g AS (SELECT doc_id, page_num, page_num - row_number() OVER (PARTITION BY doc_id ORDER BY page_num) AS i FROM n), s AS (SELECT doc_id, min(page_num) AS a, max(page_num) AS b FROM g GROUP BY doc_id, i) SELECT doc_id, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ',' ORDER BY a) AS ranges FROM s GROUP BY doc_id")
+@query(f"WITH {PAGES}, n AS (SELECT DISTINCT doc_id, page_num FROM pages WHERE page_num IS NOT NULL), g AS (SELECT doc_id, page_num, page_num - row_number() OVER (PARTITION BY doc_id ORDER BY page_num) AS i FROM n), s AS (SELECT doc_id, min(page_num) AS a, max(page_num) AS b FROM g GROUP BY doc_id, i) SELECT doc_id, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ',' ORDER BY a) AS ranges FROM s GROUP BY doc_id")
 def page_ranges(spark: SparkSession, d: str) -> DataFrame:
-    """Page numbers of each book as ranges; of each three pages one is made a gap, as books have none."""
-    return pages_of.page_ranges(_pages(spark, d).where("page_uid % 3 > 0"))
+    """Page numbers of each book as ranges; ranges with gaps are those of `mismatch_ranges`."""
+    return pages_of.page_ranges(_pages(spark, d))
 
 
 @query(f"WITH {PAGES}, {MIRROR}, n AS (SELECT DISTINCT p.doc_id, p.page_num FROM pages p LEFT JOIN mirror m ON p.doc_id = m.doc_id AND p.page_num = m.page_num WHERE p.page_num IS NOT NULL AND (m.norm_text IS NULL OR p.norm_text <> m.norm_text)), g AS (SELECT doc_id, page_num, page_num - row_number() OVER (PARTITION BY doc_id ORDER BY page_num) AS i FROM n), s AS (SELECT doc_id, min(page_num) AS a, max(page_num) AS b FROM g GROUP BY doc_id, i) SELECT doc_id, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ',' ORDER BY a) AS ranges FROM s GROUP BY doc_id")
@@ -249,8 +257,7 @@ def nearest_columns(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {LINES} SELECT line_id, round(lead(top) OVER (PARTITION BY doc_id, page_num ORDER BY top, line_id) - top, 6) AS gap FROM lines")
 def line_gaps(spark: SparkSession, d: str) -> DataFrame:
     """How far below the next line of the page is."""
-    w = Window.partitionBy("doc_id", "page_num").orderBy("top", "line_id")
-    return _lines(spark, d).select("line_id", F.round(F.lead("top").over(w) - F.col("top"), 6).alias("gap"))
+    return lines_of.with_gap(_lines(spark, d), ["doc_id", "page_num"], ["top", "line_id"]).select("line_id", F.round("gap", 6).alias("gap"))
 
 
 BODY = f"body AS (SELECT doc_id, coalesce(median(CASE WHEN length({strip_sql('text')}) >= 30 AND font_size > 0 THEN font_size END), median(CASE WHEN font_size > 0 THEN font_size END), 12.0) AS body FROM lines GROUP BY doc_id)"
@@ -370,22 +377,74 @@ def container_resolution(spark: SparkSession, d: str) -> DataFrame:
 # blocks and trees
 
 
+#: Of ten lines one is a chapter, a section, an item and a caption each; thirty lines make a page, a gap of 20 joins them.
+MADE_KIND = "CASE page_num % 10 WHEN 0 THEN 'chapter' WHEN 3 THEN 'section' WHEN 5 THEN 'list_item' WHEN 6 THEN 'caption' ELSE 'para' END"
+MADE_TEXT = "CASE page_num % 10 WHEN 0 THEN 'Chapter ' || page_num WHEN 3 THEN 'Section ' || page_num WHEN 5 THEN '• item ' || page_num WHEN 6 THEN 'Figure ' || page_num || ' shows it' ELSE 'this is a line of the body and its number is ' || page_num END"
+MADE_BLOCKS = f"""ml AS (SELECT doc_id, page_num AS n, 1 + page_num // 30 AS p, 100 + page_num % 30 * 20.0 AS top, {MADE_KIND} AS label, {MADE_TEXT} AS t FROM tl),
+mk AS (SELECT *, CASE WHEN label = 'para' AND lag(label) OVER w = 'para' AND lag(p) OVER w = p THEN 0 ELSE 1 END AS brk FROM ml WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+mb AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS b FROM mk),
+blocks AS (SELECT doc_id, (b - 1)::INT AS block_ord, min(label) AS label, string_agg(CASE WHEN label = 'list_item' THEN substr(t, 3) ELSE t END, chr(10) ORDER BY n) AS text, min(p)::INT AS page_num, min(top) AS top, max(top) + 10 - min(top) AS height FROM mb GROUP BY doc_id, b)"""
+
+
+def _made_blocks(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("page_num")
+    lines = _text_lines(spark, d).select(
+        "doc_id", F.floor(n / 30).cast("int").alias("page_ord"), (F.floor(n / 30) + 1).cast("int").alias("number"), F.lit(600.0).alias("page_width"), F.lit(900.0).alias("page_height"), n.cast("long").alias("line_ord"),
+        (100 + n % 30 * 20.0).alias("top"), F.lit(50.0).alias("left"), F.lit(10.0).alias("height"), F.when(n % 10 == 0, 13.0).otherwise(10.0).alias("font_size"), F.expr(MADE_TEXT).alias("text"),
+    )
+    lines = lines.withColumnRenamed("number", "page_num").withColumn("segments", F.array(F.struct(F.col("left"), F.lit(0).alias("ord"), F.lit(200.0).alias("width"), F.col("font_size"), F.col("text"))))
+    return label_blocks(lines, None, MARKERS)
+
+
+@query(f"WITH {TEXT_LINES}, {MADE_BLOCKS} SELECT * FROM blocks")
+def label_made(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled blocks of lines made by number: chapters by word and size, sections, items, captions, merged paragraphs."""
+    return _made_blocks(spark, d).select("doc_id", "block_ord", "label", "text", "page_num", "top", "height")
+
+
+@query(
+    f"""WITH {TEXT_LINES}, {MADE_BLOCKS}, e AS (SELECT doc_id, unnest(CASE label WHEN 'chapter' THEN ['chapter', 'title'] WHEN 'section' THEN ['sect1', 'title'] WHEN 'list_item' THEN ['itemizedlist', 'listitem', 'para'] ELSE ['para'] END) AS tag, text FROM blocks
+UNION ALL SELECT DISTINCT doc_id, 'book', NULL FROM tl)
+SELECT doc_id, tag, count(*) AS n, string_agg(CASE WHEN tag IN ('para', 'title') THEN text END, '|' ORDER BY text) AS texts FROM e GROUP BY doc_id, tag"""
+)
+def tree_made(spark: SparkSession, d: str) -> DataFrame:
+    """The elements of the trees of those blocks; captions without a figure are paragraphs, each item a list of its own."""
+    nodes = tree.build_tree(_made_blocks(spark, d))
+    text = F.when(F.col("tag").isin("para", "title"), F.col("text"))
+    return nodes.groupBy("doc_id", "tag").agg(F.count("*").alias("n"), F.nullif(F.array_join(F.array_sort(F.collect_list(text)), "|"), F.lit("")).alias("texts"))
+
+
 @query()
 def label_documents(spark: SparkSession, d: str) -> DataFrame:
     """Books as labelled blocks."""
     return label_blocks(_assembled(spark, d), None, MARKERS)
 
 
+@query(
+    f"""WITH {TEXT_LINES}, n AS (SELECT doc_id, page_num AS n, page_num // 6 AS run FROM tl WHERE page_num % 6 > 0)
+SELECT doc_id, count(*) AS n_rows, 3 AS n_columns, min(n) * 20.0 AS top, string_agg('a' || n || ' | b' || n || ' | c', chr(10) ORDER BY n) AS text FROM n GROUP BY doc_id, run HAVING count(*) >= 2"""
+)
+def table_made(spark: SparkSession, d: str) -> DataFrame:
+    """Tables among lines made by number: five rows of three columns, each a little aside of the last, then a line of text."""
+    n = F.col("page_num")
+    cell = lambda left, text, k: F.struct(F.lit(left) + n % 3, F.lit(k), F.lit(40.0), F.lit(10.0), text).cast(lines_of.SEGMENT)
+    row = F.array(cell(250.0, F.lit("c"), 2), cell(50.0, F.concat(F.lit("a"), n.cast("string")), 0), cell(150.0, F.concat(F.lit("b"), n.cast("string")), 1))
+    lines = _text_lines(spark, d).withColumn("segments", F.when(n % 6 == 0, F.array(cell(50.0, F.lit("a line of text between the tables"), 0))).otherwise(row))
+    lines = lines.select("doc_id", F.lit(0).alias("page_ord"), n.cast("long").alias("line_ord"), F.lit(3).alias("number"), F.lit(600.0).alias("page_width"), F.lit(90000.0).alias("page_height"), (n * 20.0).alias("top"), F.lit(50.0).alias("left"), F.lit(12.0).alias("height"), F.lit(10.0).alias("font_size"), X.clean_join(F.col("segments")).alias("text"), "segments").withColumnRenamed("number", "page_num")
+    return label_blocks(lines, None, MARKERS).where("label = 'table'").select("doc_id", F.size("rows").cast("long").alias("n_rows"), F.size(F.col("rows")[0]).alias("n_columns"), "top", "text")
+
+
 @query()
 def table_detect(spark: SparkSession, d: str) -> DataFrame:
     """Tables found among the books' lines."""
     return label_documents(spark, d).where("label = 'table'").select("doc_id", "block_ord", "page_num", F.size("rows").alias("n_rows"), F.size(F.col("rows")[0]).alias("n_columns"), "text")
 
 
-@query()
+@query(f"WITH {TEXT_LINES}, {MADE_BLOCKS} SELECT doc_id, block_ord, label, CASE WHEN length(text) >= 20 THEN 'long' ELSE 'unsure' END AS classifier_label, least(length(text) / 20.0::DOUBLE, 1.0) AS classifier_confidence FROM blocks")
 def classify_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks with the label a classifier gives; none is plugged in, so it is the block's own."""
-    return classify(label_documents(spark, d)).select("doc_id", "block_ord", "label", "classifier_label", "classifier_confidence")
+    """Blocks of made lines with the label of a classifier that is surer the longer a text is; it abstains below certainty."""
+    judge = lambda label, text: F.struct(F.lit("long").alias("label"), F.least(F.length(text) / 20.0, F.lit(1.0)).alias("confidence"))
+    return classify(_made_blocks(spark, d), judge, 1.0, "unsure").select("doc_id", "block_ord", "label", "classifier_label", "classifier_confidence")
 
 
 @query()
@@ -435,16 +494,15 @@ def font_join(spark: SparkSession, d: str) -> DataFrame:
     return lines_of.with_font_size(nodes, specs.unionByName(specs.withColumn("size", F.lit("99")).withColumn("ord", F.lit(1)))).select("segment_id", "font_size")
 
 
-CAPTION_LABEL = "CASE WHEN page_num % 5 = 0 THEN 'figure' WHEN page_num % 5 IN (1, 4) THEN 'caption' ELSE 'para' END"
-
-
-@query(f"WITH {TEXT_LINES}, k AS (SELECT doc_id, page_num, {CAPTION_LABEL} AS label FROM tl WHERE trim(raw_text, ' ') <> ''), n AS (SELECT *, lag(label) OVER w AS b, lead(label) OVER w AS a FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY page_num)) SELECT doc_id, page_num, CASE WHEN b = 'figure' THEN 'before' WHEN a = 'figure' THEN 'after' ELSE 'para' END AS goes_to FROM n WHERE label = 'caption'")
+@query(f"WITH {TEXT_LINES}, n AS (SELECT doc_id, page_num, max(page_num) OVER (PARTITION BY doc_id) AS last FROM tl) SELECT doc_id, 'f' || page_num || '.png' AS ref, 'line ' || (page_num + CASE WHEN page_num < last THEN 1 ELSE -1 END) AS caption FROM n WHERE page_num % 5 = 0")
 def caption_attach(spark: SparkSession, d: str) -> DataFrame:
-    """Where each caption goes, of labels made by line number: to the figure before it, the one after it, or a paragraph."""
-    rows = _text_lines(spark, d).where("trim(raw_text) <> ''").withColumn("label", F.expr(CAPTION_LABEL))
-    w = Window.partitionBy("doc_id").orderBy("page_num")
-    near = rows.withColumn("b", F.lag("label").over(w)).withColumn("a", F.lead("label").over(w)).where("label = 'caption'")
-    return near.select("doc_id", "page_num", F.when(F.col("b") == "figure", "before").when(F.col("a") == "figure", "after").otherwise("para").alias("goes_to"))
+    """Figures and their captions in trees built of blocks made by line number.
+
+    Every fifth line is a figure with a caption before and one after it: the later one counts."""
+    n = F.col("page_num")
+    rows = _text_lines(spark, d).withColumn("label", F.when(n % 5 == 0, "figure").when((n % 5).isin(1, 4), "caption").otherwise("para"))
+    made = rows.select("doc_id", n.cast("int").alias("block_ord"), "label", F.concat(F.lit("line "), n.cast("string")).alias("text"), F.lit(0.0).alias("left"), F.lit(None).cast("array<array<string>>").alias("rows"), F.when(F.col("label") == "figure", F.concat(F.lit("f"), n.cast("string"), F.lit(".png"))).alias("src"), F.lit(None).cast("string").alias("list_type"), F.lit(None).cast("string").alias("chapter_role"))
+    return package.image_nodes(cut(tree.build_tree(made))).select("doc_id", "ref", "caption")
 
 
 INDEX_TEXT = r"regexp_replace(regexp_replace(regexp_replace(raw_text, '\.{2,}', ' ', 'g'), '[WS]+', ' ', 'g'), '^ | $', '', 'g')".replace("WS", WS)
@@ -565,8 +623,7 @@ def image_classify(spark: SparkSession, d: str) -> DataFrame:
 def shared_media_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Of images with one file name in a document, which is stored."""
     rows = table(spark, d, "part").select(F.substring("p_brand", 7, 2).cast("long").alias("doc_id"), "p_partkey", F.concat(F.lit("x/"), (F.col("p_partkey") % 3).cast("string"), F.lit("/"), F.expr(IMAGE_NAME)).alias("ref"))
-    w = Window.partitionBy("doc_id", package.base_name(F.col("ref"))).orderBy("p_partkey")
-    return rows.select("doc_id", "p_partkey", (F.row_number().over(w) == 1).alias("first"))
+    return package.first_of_name(rows.select("doc_id", "ref", "p_partkey"), ["p_partkey"]).select("doc_id", "p_partkey", "first")
 
 
 @query("SELECT p_partkey, p_size > 0 AND p_retailprice::INT % 200 > 0 AND (p_size * 4 < 72 OR p_retailprice::INT % 200 < 72) AS low, p_partkey % 3 = 0 OR regexp_matches(p_name, '(?i)figure\\s+\\d') AS referenced FROM part")
@@ -576,7 +633,7 @@ def image_flags(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", package.is_low_resolution(F.col("p_size") * 4, F.round("p_retailprice").cast("int") % 200).alias("low"), package.is_referenced(F.when(F.col("p_partkey") % 3 == 0, "f"), F.col("p_name")).alias("referenced"))
 
 
-@query()
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN p_size ELSE 0 END AS width, CASE WHEN p_partkey % 3 < 2 THEN p_size * 3 ELSE 0 END AS height, CASE p_partkey % 3 WHEN 0 THEN 'PNG' WHEN 1 THEN 'GIF' ELSE 'TIF' END AS format FROM part")
 def image_inspect(spark: SparkSession, d: str) -> DataFrame:
     """Sizes of image headers made from parts: PNG, GIF and neither."""
     w, h = F.lpad(F.hex(F.col("p_size")), 8, "0"), F.lpad(F.hex(F.col("p_size") * 3), 8, "0")
@@ -587,7 +644,10 @@ def image_inspect(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", image_info(data, F.lit(".tif")).alias("i")).select("p_partkey", "i.width", "i.height", "i.format")
 
 
-@query()
+@query(
+    f"""WITH {TEXT_LINES}, {FRAGMENTS}, f2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, filename ORDER BY frag_ord) AS r FROM fr)
+SELECT doc_id, doc_id::VARCHAR AS name, ['Book.xml'] || list(CASE WHEN r = 1 THEN filename ELSE replace(filename, '.xml', '_' || r || '.xml') END ORDER BY frag_ord) || ['media/', 'media/Book_Images/', 'media/Book_Images/Chapters/', 'media/Book_Images/Shared/', 'media/Book_Images/Metadata/', 'media/Book_Images/Metadata/image_catalog.xml', 'media/Book_Images/Metadata/image_manifest.csv'] AS files FROM f2 GROUP BY doc_id"""
+)
 def bundle_listing(spark: SparkSession, d: str) -> DataFrame:
     """The files in the bundle of each made tree."""
     nodes = cut(_made_nodes(spark, d))
@@ -629,18 +689,64 @@ def local_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.when(F.col("section_type").isNotNull(), X.local_name(tag)).alias("tag"))
 
 
-@query("SELECT o_orderkey AS spine_id, c_name AS href FROM orders JOIN (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 5 > 0) ON o_custkey = c_custkey")
+def _made_epubs(spark: SparkSession, d: str) -> DataFrame:
+    """E-books made of books: 1 to 3 chapters of a heading and a paragraph, manifest ids twice, every fifth spine with an entry that no item has."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def make(batches):
+        for pdf in batches:
+            made = []
+            for book in pdf["book_id"].tolist():
+                out, n = io.BytesIO(), 1 + book % 3
+                items = "".join(f'<item id="c{k}" href="old{k}.xhtml"/><item id="c{k}" href="text/c{k}.xhtml"/>' for k in range(n))
+                refs = "".join(f'<itemref idref="c{k}"/>' for k in range(n)) + ('<itemref idref="lost"/>' if book % 5 == 0 else "")
+                with zipfile.ZipFile(out, "w") as z:
+                    z.writestr("META-INF/container.xml", '<container xmlns="urn:c"><rootfiles><rootfile full-path="OPS/book.opf"/></rootfiles></container>')
+                    z.writestr("OPS/book.opf", f'<package xmlns="urn:o"><manifest>{items}</manifest><spine>{refs}</spine></package>')
+                    for k in range(n):
+                        z.writestr(f"OPS/text/c{k}.xhtml", f"<html><body><h1>Part {k}</h1><p>of <b>book</b> {book}</p></body></html>")
+                    z.writestr("OPS/cover.png", b"x" * (book % 7 + 1))
+                made.append(out.getvalue())
+            yield pd.DataFrame({"doc_id": pdf["book_id"], "content": made})
+
+    return parse_epub(table(spark, d, "book").select("book_id").mapInPandas(make, "doc_id long, content binary"))
+
+
+EPUBS = "ep AS (SELECT book_id AS doc_id, unnest(generate_series(0, book_id % 3)) AS k FROM book)"
+
+
+@query(f"WITH {EPUBS} SELECT doc_id, k::INT AS pos, 'c' || k AS id, 'text/c' || k || '.xhtml' AS href FROM ep")
 def spine_join(spark: SparkSession, d: str) -> DataFrame:
-    """A spine resolved against its manifest, orders and customers in their place; every fifth item is missing."""
-    items = table(spark, d, "customer").where("c_custkey % 5 > 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("href"))
-    return table(spark, d, "orders").join(items, F.col("o_custkey") == F.col("id")).select(F.col("o_orderkey").alias("spine_id"), "href")
+    """Spines resolved against their manifests, in which of items with one id the last counts."""
+    return _made_epubs(spark, d).where("kind = 'spine'").select("doc_id", "pos", "id", "href")
 
 
-@query("SELECT o_orderkey AS spine_id, o_custkey AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 > 0)")
+@query("SELECT book_id AS doc_id, (1 + book_id % 3)::INT AS pos, 'lost' AS id FROM book WHERE book_id % 5 = 0")
 def spine_missing(spark: SparkSession, d: str) -> DataFrame:
     """Spine entries without a manifest item."""
-    items = table(spark, d, "customer").where("c_custkey % 5 > 0").select(F.col("c_custkey").alias("id"))
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("spine_id"), F.col("o_custkey").alias("id")).join(items, "id", "left_anti")
+    return _made_epubs(spark, d).where("kind = 'missing'").select("doc_id", "pos", "id")
+
+
+@query(f"WITH {EPUBS} SELECT doc_id, (2 * k + c + 1)::INT AS page_num, CASE c WHEN 0 THEN 'Part ' || k ELSE 'of  book  ' || doc_id END AS raw_text FROM ep, (SELECT unnest([0, 1]) AS c)")
+def epub_text(spark: SparkSession, d: str) -> DataFrame:
+    """The text blocks of e-books as pages, numbered in spine order."""
+    return epub_pages(_made_epubs(spark, d))
+
+
+@query("SELECT book_id AS doc_id, 'OPS/cover.png' AS ref, (book_id % 7 + 1)::INT AS size FROM book")
+def epub_media(spark: SparkSession, d: str) -> DataFrame:
+    """The images in e-books."""
+    return _made_epubs(spark, d).where("kind = 'media'").select("doc_id", F.col("href").alias("ref"), F.length("content").alias("size"))
+
+
+@query(f"WITH {EPUBS}, e AS (SELECT doc_id, unnest(['title', 'para']) AS tag, k FROM ep UNION ALL SELECT DISTINCT doc_id, 'book', NULL FROM ep) SELECT doc_id, tag, count(*) AS n, max(CASE tag WHEN 'title' THEN 'Part ' || k WHEN 'para' THEN 'of book ' || doc_id END) AS most FROM e GROUP BY doc_id, tag")
+def epub_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """E-books as trees: headings are titles, paragraphs paragraphs."""
+    nodes = html_to_docbook(epub_html(_made_epubs(spark, d)), "doc_id", "html")
+    return nodes.groupBy("doc_id", "tag").agg(F.count("*").alias("n"), F.max("text").alias("most"))
 
 
 @query("SELECT book_id, arg_max(norm_text, page_uid) AS last_text FROM (SELECT * FROM page_text WHERE norm_text IS NOT NULL) GROUP BY book_id")

@@ -148,3 +148,36 @@ def test_pdf_command_keeps_images_and_reads_image_only_pages_again(spark, tmp_pa
     plain, again = bundle(), bundle("--ocr-on-image-only")
     assert png in plain.values() and png in again.values()
     assert not any(b"Read again" in c for c in plain.values()) and any(b"Read again" in c for c in again.values())
+
+
+def test_one_bad_job_takes_no_other_with_it(monkeypatch):
+    done = []
+
+    def convert(spark, jobs, kind, args):
+        if any(j["input"] == "bad" for j in jobs):
+            raise ValueError("strict")
+        done.extend(j["input"] for j in jobs)
+        return []
+
+    monkeypatch.setattr(cli, "_convert", convert)
+    jobs = [{"input": n} for n in ("a", "b", "bad", "c", "d")]
+    assert cli._isolated(None, jobs, "pdf", None) == ["bad"] and sorted(done) == ["a", "b", "c", "d"]
+
+
+def test_bundles_are_named_by_isbn_and_hold_their_stylesheet(spark, tmp_path):
+    from foliospark import config, pipeline
+
+    nodes = nodes_of(spark, "<book><bookinfo><isbn> 978-3 16 </isbn><isbn>99</isbn></bookinfo><chapter><title>t</title></chapter></book>")
+    assert [r.name for r in pipeline.book_names(nodes).collect()] == ["978316"]
+    (tmp_path / "own.css").write_bytes(b"para { }")
+    assert pipeline.assets(config.DEFAULTS) == {"book.css": pipeline.PLAIN_STYLE}
+    assert pipeline.assets(config.merge(config.DEFAULTS, {"docbook": {"stylesheet": str(tmp_path / "own.css")}})) == {"book.css": b"para { }"}
+
+
+def test_the_settings_decide_about_the_classifier(spark):
+    from foliospark import config, pipeline
+
+    blocks = spark.createDataFrame([("para", "text")], "label string, text string")
+    sure = lambda label, text: F.struct(F.lit("note").alias("label"), F.lit(0.7).alias("confidence"))
+    said = lambda own: pipeline._classified(blocks, config.merge(config.DEFAULTS, {"classifier": own}), sure).first().classifier_label
+    assert [said({}), said({"enabled": True}), said({"enabled": True, "threshold": 0.5}), said({"enabled": True, "abstain_label": "?"})] == ["para", "abstain", "note", "?"]
