@@ -166,15 +166,26 @@ def _pronounceable(text: str) -> bool:
     return (len(latin) < 20 or vowels > 0.22 * len(latin)) and inner < 0.25
 
 
+#: Bytes up to which a narrow side is broadcast; beyond, it is joined by shuffle, with the same rows.
+BROADCAST_BYTES = 32_000_000
+
+
+def sized(rows: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Narrow rows to join with: to be broadcast if their bytes, counted, are within the limit."""
+    texts = [c for c, kind in rows.dtypes if kind == "string"]
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(48))
+    return F.broadcast(rows) if (rows.agg(F.sum(size.cast("long"))).first()[0] or 0) <= limit else rows
+
+
 def language_of(pages: DataFrame, books: DataFrame | None, book: str = "book_id", lang: str = "lang") -> DataFrame:
     """`pages` with a column `__lang`: the book's language in lower case, one group for what has none.
 
-    (book, language) is joined as narrow rows; Spark broadcasts them only under its own checked size.
-    Pages of no book are not sent to one task for it."""
+    (book, language) is joined as narrow rows, broadcast if small enough, so that texts stay where
+    they are. Pages of no book are not sent to one task for it."""
     if books is None:
         return pages.withColumn("__lang", F.lit(""))
     named = books.where(books[book].isNotNull()).groupBy(books[book].alias("__book")).agg(F.max(F.lower(F.trim(books[lang]))).alias("__lang"))
-    known = pages.where(pages[book].isNotNull()).join(named, F.col(book) == F.col("__book"), "left").drop("__book").withColumn("__lang", F.coalesce("__lang", F.lit("")))
+    known = pages.where(pages[book].isNotNull()).join(sized(named), F.col(book) == F.col("__book"), "left").drop("__book").withColumn("__lang", F.coalesce("__lang", F.lit("")))
     return known.unionByName(pages.where(pages[book].isNull()).withColumn("__lang", F.lit("")))
 
 

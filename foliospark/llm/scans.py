@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.quality import COMMON_PAGES, figures, kind, word_shares
+from foliospark.llm.quality import COMMON_PAGES, figures, kind, sized, word_shares
 
 #: A word is in the lexicon if one page in so many of its language has it, five pages at least; as a page has few
 #: hundred words, the lexicon has a bound that does not depend on the corpus.
@@ -274,15 +274,15 @@ def repaired_pages(pages: DataFrame, books: DataFrame, key: str = "page_uid", bo
 
     The page's kind is that of its `norm` text, of `text` where that is null. Pages that are null,
     blank or not prose have no row; a null title is an unknown one. With `only_damaged`, pages
-    without damage have no row and no text is returned. Titles are joined to keys and texts by
-    book; has_ocr is not trusted and not read. Repeated rows give one row."""
+    without damage have no row and no text is returned. Titles are broadcast if small enough, else
+    joined to keys and texts by book; has_ocr is not trusted and not read. Repeated rows give one row."""
     spark = pages.sparkSession
     shared = spark.sparkContext.broadcast(lexicon_of(pages, text, books if "lang" in books.columns else None, book))
     threshold = SCALE / COMMON_PAGES
     common = frozenset(w for w, n in shared.value.pages.items() if n >= threshold)
     own = pages.select(pages[key].cast("long").alias("page_uid"), pages[book].alias("b"), pages[text].alias("t"), pages[norm].alias("n")).where(F.col("t").isNotNull())
     named = books.where(books[book].isNotNull()).groupBy(books[book].alias("b")).agg(F.min(books[title]).alias("title"))
-    titled = own.where("b IS NOT NULL").join(named, "b", "left").select("page_uid", "t", "n", "title")
+    titled = own.where("b IS NOT NULL").join(sized(named), "b", "left").select("page_uid", "t", "n", "title")
     titled = titled.unionByName(own.where("b IS NULL").select("page_uid", "t", "n", F.lit(None).cast("string").alias("title")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from foliospark.llm import quality as Q
 
@@ -80,3 +81,9 @@ def test_pages_of_other_languages_take_no_common_word_away(spark):
     kinds = lambda rows: {r.page_uid: r.kind for r in Q.page_figures(frame(rows), books).where("page_uid < 100").collect()}
     assert kinds(small) == kinds(small + large)
     assert Q.page_figures(frame([(1, None, PROSE), (2, 77, PROSE)]), books).count() == 2
+
+
+def test_large_sides_are_joined_and_not_broadcast(spark):
+    rows = spark.createDataFrame([(i, "x" * 100) for i in range(20)], "k long, t string")
+    plan = lambda limit: spark.range(9).join(Q.sized(rows, limit), F.col("id") == F.col("k"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(10_000) and "strategy=broadcast" not in plan(2_000)
