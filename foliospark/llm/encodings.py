@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliospark.llm.kernels import code_points
 from foliospark.llm.lookalikes import SCRIPTS, plain_form
 from foliospark.session import cut
 
@@ -163,6 +164,7 @@ class MultiByte:
 _ciphers: list = []
 _latin, _other = re.compile("[A-Za-zÀ-ɏ]"), re.compile("[Ͱ-ӿ]")
 _edges = re.compile(r"^\W+|\W+$")
+_no_letter = re.compile(r"[^\x00-\x7F\w]")
 
 
 def _two_scripts(word: str) -> bool:
@@ -187,11 +189,13 @@ def folded(word: str) -> str:
 
 
 def core_of(word: str) -> str:
-    return _edges.sub("", word).lower()
+    return (word if word.isalnum() else _edges.sub("", word)).lower()
 
 
 def malformed(word: str) -> bool:
     """No language writes so: a capital after a small letter, or a sign that is no letter, digit or punctuation between letters."""
+    if (word[1:].islower() or word.isupper()) and not _no_letter.search(word):
+        return False
     for a, b, c in zip(word, word[1:], word[2:] + " "):
         if (a.islower() and b.isupper()) or (a.isalpha() and c.isalpha() and b > "\x7f" and not b.isalnum() and unicodedata.category(b)[0] != "P"):
             return True
@@ -269,11 +273,11 @@ class Model:
         return max(value, self.likelihood(plain)) if (plain := plain_form(word)) != word else value
 
     def prepare(self, words: list[str]) -> None:
-        """Finds, for many words at once, the one-sign ciphers worth a closer look; `readings` then
-        follows only those. Words with a sign outside the table are left to `readings` as they are."""
-        words = [w for w in words if w not in self.known and w not in self.hints]
+        """Finds, for many words at once, the ciphers worth a closer look; `readings` then follows
+        only those. Words with a sign outside the table are left to `readings` as they are."""
         if len(self.hints) > KNOWN:
             self.hints.clear()
+        words = [w for w in words if w not in self.hints]
         if not words:
             return
         if self._dense is None:
@@ -284,11 +288,13 @@ class Model:
         """(cipher, gain, as written, multi-byte) of each cipher that may have made the word. Letters stay letters."""
         found = self.known.get(word)
         if found is None:
+            hint = self.hints.get(word)
+            if hint is not None and not hint:
+                return ()
             plain, found, seen, signs = self.standing(word), [], {word}, _signs(word)
             unlikely = plain < LIKELY * (len(word) + 1) or self.first_round
             letters = sum(map(str.isalpha, word))
-            hint = self.hints.get(word)
-            for cipher in ciphers() if hint is None else [*self.runs, *hint]:
+            for cipher in ciphers() if hint is None else hint:
                 if (cipher.multi or unlikely) and cipher.may_have_made(signs) and (read := cipher.undo(word)) is not None and read not in seen:
                     seen.add(read)
                     if not self.believable(cipher, word) if cipher.multi else _two_scripts(read) or sum(map(str.isalpha, read)) < letters:
@@ -340,58 +346,95 @@ class Model:
         return [(r, w) for r, v in found if (w := exp(v - top) / total) >= 0.01]
 
 
+def _bits(flags: list[np.ndarray]) -> np.ndarray:
+    """One row of flags for each cipher as bits: (64 ciphers, sign)."""
+    bits = np.zeros(((len(flags) + 63) // 64, len(flags[0])), np.uint64)
+    for i, row in enumerate(flags):
+        bits[i // 64] |= row.astype(np.uint64) << np.uint64(i % 64)
+    return bits
+
+
 class _Dense:
-    """The bigrams of the most frequent signs as a matrix, and each one-sign cipher as an index array."""
+    """The bigrams of the most frequent signs as a matrix, each one-sign cipher as an index array, and, as bits, the ciphers that a sign can come of."""
 
     def __init__(self, model: Model):
         counts = Counter(model.firsts)
         for (_, y), n in model.bigrams.items():
             counts[y] += n
         signs = ["\n", *(s for s, _ in counts.most_common(TABLE) if s != "\n")]
-        self.ciphers = [c for c in ciphers() if not c.multi]
+        self.ciphers, self.runs, self.first_round = [c for c in ciphers() if not c.multi], model.runs, model.first_round
         signs += sorted({s for c in self.ciphers for s in (*c.reader, *c.table.values())} - set(signs))
         signs += sorted({low for s in signs if len(low := s.lower()) == 1} - set(signs))
-        self.index = {s: i for i, s in enumerate(signs)}
-        self.low = np.array([self.index[low] if len(low := s.lower()) == 1 else -1 for s in signs])
+        index = {s: i for i, s in enumerate(signs)}
+        self.low = np.array([index[low] if len(low := s.lower()) == 1 else -1 for s in signs])
         self.upper, self.lower = np.array([s.isupper() for s in signs]), np.array([s.islower() or s.istitle() and not s.isupper() for s in signs])
+        #: The place of a code point in the table, -1 for none and for one whose small letter is two signs.
+        self.places = np.full(0x110000, -1, np.int32)
+        self.places[[ord(s) for s in signs]] = np.where(self.low >= 0, np.arange(len(signs)), -1)
+        self.sigma = index.get("Σ", -1)
         base = np.array([model.base.get(s, model.rare) for s in signs])
         weight = np.array([model.weight.get(s, PRIOR) for s in signs])
         firsts = np.array([model.firsts.get(s, 0) for s in signs]) + weight
         self.logs = np.log(base)[None, :] + (np.log(weight) - np.log(firsts))[:, None]
         for (x, y), value in model.logs.items():
-            if x in self.index and y in self.index:
-                self.logs[self.index[x], self.index[y]] = value
-        self.maps, self.able, self.changes = [], [], []
+            if x in index and y in index:
+                self.logs[index[x], index[y]] = value
+        flags = lambda some: np.array([s in some for s in signs])
+        plain, self.maps = np.array([s <= "\x7f" for s in signs]), []
         for c in self.ciphers:
             to = np.arange(len(signs))
-            for sign, i in self.index.items():
-                to[i] = self.index[c.table.get(ord(sign), sign)]
+            for code, letter in c.table.items():
+                to[index[chr(code)]] = index[letter]
             self.maps.append(to)
-            self.able.append(np.array([s <= "\x7f" or s in c.reader for s in signs]))
-            self.changes.append(np.array([s in c.changing for s in signs]))
+        readers = {c.reader: plain | flags(c.reader) for c in self.ciphers}
+        self.able, self.changes = _bits([readers[c.reader] for c in self.ciphers]), _bits([flags(c.changing) for c in self.ciphers])
+        self.leads, self.tails = _bits([flags(c.leads) for c in self.runs])[0], _bits([flags(c.tails) for c in self.runs])[0]
+
+    def total(self, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Nats of words by their bigrams; each begins with a line end, as what follows the last does."""
+        capitals = np.logical_or.reduceat(self.upper[ids[:-1]], starts) & (lengths > 2)
+        if capitals.any():
+            capitals &= ~np.logical_or.reduceat(self.lower[ids[:-1]], starts)
+            ids = np.where(np.append(np.repeat(capitals, lengths), False) & (self.low[ids] >= 0), self.low[ids], ids)
+        return np.add.reduceat(self.logs[ids[:-1], ids[1:]], starts)
 
     def candidates(self, words: list[str]) -> dict[str, list]:
-        """The ciphers under which a word loses less than RUN_LOSS, for each word of the table's signs."""
-        whole = [w for w in words if all(s in self.index and len(s.lower()) == 1 for s in w)]
-        found: dict[str, list] = {w: [] for w in whole}
-        if not whole:
+        """For each word of the table's signs: the UTF-8 readers of which it has the beginning of a run,
+        and the one-sign ciphers, if it is unlikely as it stands, under which it loses less than RUN_LOSS."""
+        at = self.places[code_points("\n" + "\n".join(words) + "\n")]
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        starts = np.cumsum(lengths) - lengths
+
+        def part(some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The words of these numbers alone, as `total` takes them."""
+            long = lengths[some]
+            begin = np.cumsum(long) - long
+            return np.append(at[np.repeat(starts[some] - begin, long) + np.arange(long.sum())], 0), begin, long
+
+        whole = np.flatnonzero(np.minimum.reduceat(at[:-1], starts) >= 0)
+        found: dict[str, list] = {words[i]: [] for i in whole.tolist()}
+        if not len(whole):
             return found
-        at = np.array([self.index[s] for w in whole for s in "\n" + w] + [0])
-        starts = np.cumsum([0, *(len(w) + 1 for w in whole)])[:-1]
-        lengths = np.diff(np.append(starts, len(at) - 1))
-
-        def total(ids):
-            capitals = np.logical_or.reduceat(self.upper[ids[:-1]], starts) & ~np.logical_or.reduceat(self.lower[ids[:-1]], starts) & (lengths > 2)
-            if capitals.any():
-                ids = np.where(np.append(np.repeat(capitals, lengths), False) & (self.low[ids] >= 0), self.low[ids], ids)
-            return np.add.reduceat(self.logs[ids[:-1], ids[1:]], starts)
-
-        plain = total(at)
-        for c, to, able, changes in zip(self.ciphers, self.maps, self.able, self.changes):
-            possible = np.logical_and.reduceat(able[at[:-1]], starts) & np.logical_or.reduceat(changes[at[:-1]], starts)
-            if possible.any():
-                for i in np.flatnonzero(possible & (total(to[at]) - plain > RUN_LOSS)).tolist():
-                    found[whole[i]].append(c)
+        words = [words[i] for i in whole.tolist()]
+        at, starts, lengths = part(whole)
+        runs = np.bitwise_or.reduceat(self.leads[at[:-1]] & self.tails[at[1:]], starts)
+        for i in np.flatnonzero(runs).tolist():
+            bits = int(runs[i])
+            found[words[i]] += [c for k, c in enumerate(self.runs) if bits >> k & 1]
+        plain = self.total(at, starts, lengths)
+        # the last small sigma of a word in capitals is another sign than here: those are left to `readings`
+        doubtful = np.flatnonzero((plain < LIKELY * lengths + 1e-6) | np.logical_or.reduceat(at[:-1] == self.sigma, starts)) if not self.first_round else np.arange(len(words))
+        if not len(doubtful):
+            return found
+        words, plain = [words[i] for i in doubtful.tolist()], plain[doubtful]
+        at, starts, lengths = part(doubtful)
+        possible = np.bitwise_and.reduceat(self.able[:, at[:-1]], starts, axis=1) & np.bitwise_or.reduceat(self.changes[:, at[:-1]], starts, axis=1)
+        for k, (c, to) in enumerate(zip(self.ciphers, self.maps)):
+            some = np.flatnonzero(possible[k // 64] >> np.uint64(k % 64) & np.uint64(1))
+            if len(some):
+                ids, begin, long = part(some)
+                for i in some[self.total(to[ids], begin, long) - plain[some] > RUN_LOSS].tolist():
+                    found[words[i]].append(c)
         return found
 
 
@@ -428,24 +471,43 @@ def _expect(model: Model | None, last: bool, batches: Iterator[pa.RecordBatch])
 
     Words that no language writes tell of no language's bigrams as they stand."""
     counts: Counter = Counter()
+    pairs: Counter = Counter()
     for batch in batches:
-        sources, words, numbers = (batch.column(i).to_pylist() for i in range(3))
+        sources, words = (batch.column(i).dictionary_encode(null_encoding="encode") for i in range(2))
+        names, distinct, numbers = sources.dictionary.to_pylist(), words.dictionary.to_pylist(), batch.column(2).to_numpy()
+        by_row, of_row = sources.indices.to_numpy(), words.indices.to_numpy()
         if model:
-            model.prepare(words)
-        for source, word, n in zip(sources, words, numbers):
-            weights = model.weights(source, word) if model else []
+            model.prepare(distinct)
+            for source, n in zip(names, np.bincount(by_row, numbers, len(names)).tolist()):
+                counts["share", source, "\n", None] += n
+        facts = [_facts(w) for w in distinct]
+        # a word without readings is itself in every source: it is counted once for all of them
+        apart = np.array([bool(model) and (bool(model.readings(w)) or last and odd and LOST not in w) for w, (odd, _, _) in zip(distinct, facts)], bool)
+        whole = np.bincount(of_row, numbers, len(distinct))
+        plain = [i for i in np.flatnonzero(~apart).tolist() if not facts[i][0]]
+        if plain:
+            codes = code_points("\n" + "\n".join([distinct[i] for i in plain]) + "\n").astype(np.int64)
+            keys, places = np.unique(codes[:-1] << 21 | codes[1:], return_inverse=True)
+            sums = np.bincount(places, np.repeat(whole[plain], [len(distinct[i]) + 1 for i in plain]), len(keys))
+            for key, n in zip(keys.tolist(), sums.tolist()):
+                pairs[key] += n
+            if model:
+                for i, n in zip(plain, whole[plain].tolist()):
+                    _, core, script = facts[i]
+                    if script:
+                        counts["word", script, core, None] += n
+        some = np.flatnonzero(apart[of_row])
+        for i, at, n in zip(by_row[some].tolist(), of_row[some].tolist(), numbers[some].tolist()):
+            source, word, (odd, core, script) = names[i], distinct[at], facts[at]
+            weights = model.weights(source, word)
             stays = 1.0 - sum(w for _, w in weights)
-            odd, core, script = _facts(word)
             for read, w in [(word, 0.0 if odd else stays), *((r[2], w) for r, w in weights)]:
                 if w >= 0.01:
                     framed = f"\n{read}\n"
                     for x, y in zip(framed, framed[1:]):
                         counts["bigram", x, y, None] += n * w
-            if model is None:
-                continue
             if script and not odd:
                 counts["word", script, core, None] += n * stays
-            counts["share", source, "\n", None] += n
             for r, w in weights:
                 if not r[3]:
                     counts["share", source, r[0], None] += n * w
@@ -457,6 +519,8 @@ def _expect(model: Model | None, last: bool, batches: Iterator[pa.RecordBatch])
                     framed = f"\n{word}\n"
                     for x, y in zip(framed, framed[1:]):
                         counts["pair", source, name, x + y] += n * w
+    for key, n in pairs.items():
+        counts["bigram", chr(key >> 21), chr(key & 0x1FFFFF), None] += n
     if counts:
         yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in counts], pa.string()) for i in range(4)), pa.array([float(n) for n in counts.values()], pa.float64())], EXPECTED.names)
 
@@ -596,7 +660,7 @@ def learn(rows: DataFrame, rounds: int = ROUNDS) -> Model:
     """The model of `records`, from all their words."""
     spark = rows.sparkSession
     exploded = rows.select("source", F.explode(words_of(F.col("text"))).alias("word"))
-    vocabulary = cut(exploded.groupBy("source", "word").agg(F.count("*").alias("n")).repartition("word"))
+    vocabulary = cut(exploded.groupBy("source", "word").agg(F.count("*").alias("n")).repartition("word").sortWithinPartitions("word"))
     model: Model | None = None
     for left in range(rounds, -1, -1):
         shared = spark.sparkContext.broadcast(model)
@@ -638,6 +702,8 @@ def judge(model: Model, source: str | None, words: list[str]) -> dict[str, float
         if LOST in word:
             found[LOST] = found.get(LOST, 0.0) + 1
         readings = model.own_readings(source, word)
+        if not readings:
+            continue
         best = max(readings, key=lambda r: r[1], default=None)
         if best and best[3] and best[1] > RUN_LOSS:
             found[best[0]] = found.get(best[0], 0.0) + best[1]

@@ -193,3 +193,54 @@ def test_languages_without_garbling_teach_no_cipher(spark):
     records = E.records([("a", spark.createDataFrame(rows, "k long, t string, s string"), "k", "t", "s")])
     model = E.learn(records)
     assert not model.learned and not {r.rec_id for r in E.garbled(records, model).where("rec_id >= 5000").collect()}
+
+
+def test_words_that_no_cipher_made_are_not_followed(case, monkeypatch):
+    """After the screening, `readings` looks only at words that are unlikely or may have a run, however often the cache is emptied."""
+    _, model, _ = case
+    rng = random.Random(2)
+    # in Russian and Polish, letters of a code page often follow each other as in a run
+    words = sorted({w for t in ("de", "fr", "el") for _ in range(400) if not (w := "".join(rng.choices(TONGUES[t], k=rng.randint(2, 4)))).isascii()})
+    odd = [read_as(w, *swap) for w, swap in zip(words, [("utf-8", "cp1252"), ("utf-8", "cp1251")] * len(words))]
+    odd += ["".join(rng.choices(TONGUES[t], k=3)) for t in ("ru", "pl") for _ in range(60)] + [w.upper() for w in words[::7]] + ["ΧΡΌΣ", "Σ", "İé", "é", "世界é", "�é"]
+    plain, screened = (E.Model(model.bigrams, model.shares, model.words) for _ in range(2))
+    followed = []
+    monkeypatch.setattr(screened, "standing", lambda w: followed.append(w) or E.Model.standing(screened, w))
+    screened.prepare(words + odd)
+    assert [plain.readings(w) for w in words + odd] == [screened.readings(w) for w in words + odd]
+    assert len(set(words).intersection(followed)) < 0.2 * len(words)
+    monkeypatch.setattr(E, "KNOWN", 0)
+    screened.prepare(words)
+    assert len(words) <= sum(w in screened.hints for w in words)
+
+
+def test_words_of_several_sources_count_as_row_by_row(case):
+    """The expectation step over batches gives what its definition gives, row by row."""
+    _, model, _ = case
+    model = E.Model(model.bigrams, model.shares, model.words)
+    rng = random.Random(3)
+    words = ["".join(rng.choices(TONGUES[t], k=rng.randint(1, 4))) for t in TONGUES for _ in range(60)]
+    words = [w for w in words if not w.isascii()] + [read_as("für", "utf-8", "cp1252"), read_as("знание", "koi8-r", "cp1251"), "aÉ»bÉc", "lost�", "ÉaÉ"]
+    rows = [(s, w, rng.randint(1, 9)) for w in words for s in ("s0", "s1", None)]
+    batch = E.pa.RecordBatch.from_arrays([E.pa.array([r[i] for r in rows]) for i in range(3)], ["source", "word", "n"])
+    got = {tuple(r[k] for k in "kind a b c".split()): r["n"] for b in E._expect(model, True, iter([batch])) for r in b.to_pylist()}
+    want = Counter()
+    for source, word, n in rows:
+        weights, (odd, core, script) = model.weights(source, word), E._facts(word)
+        stays = 1.0 - sum(w for _, w in weights)
+        for text, w in [(word, 0.0 if odd else stays), *((r[2], w) for r, w in weights)]:
+            for x, y in zip("\n" + text, text + "\n") if w >= 0.01 else ():
+                want["bigram", x, y, None] += n * w
+        if script and not odd:
+            want["word", script, core, None] += n * stays
+        want["share", source, "\n", None] += n
+        groups = [(r[0], w) for r, w in weights if not r[3] and w > 0.5]
+        for r, w in weights:
+            if not r[3]:
+                want["share", source, r[0], None] += n * w
+        if not groups and odd and stays > 0.5 and E.LOST not in word:
+            groups = [(E.UNKNOWN, stays)]
+        for name, w in groups:
+            for x, y in zip("\n" + word, word + "\n"):
+                want["pair", source, name, x + y] += n * w
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
